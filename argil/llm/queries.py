@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argil.llm import simhash_dedup, substring_dedup
+from argil.llm import decontamination, mixing, simhash_dedup, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fair_queueing": mixing.query,
+    "op4_simhash_decontamination": decontamination.query,
     "op5_countmin_passages": substring_dedup.query,
+    "op8_convolutional_toxicity": toxicity.query,
     "op10_golay_simhash": simhash_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_fair_queueing": mixing.ORACLE,
+    "op2_fair_queueing": mixing.query,
+    "op4_simhash_decontamination": decontamination.query,
     "op5_countmin_passages": substring_dedup.ORACLE,
 }
