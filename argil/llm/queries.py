@@ -18,7 +18,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_fair_queueing": mixing.ORACLE,
-    "op2_fair_queueing": mixing.query,
-    "op4_simhash_decontamination": decontamination.query,
     "op5_countmin_passages": substring_dedup.ORACLE,
 }
