@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argil.llm import decontamination, mixing, simhash_dedup, substring_dedup, toxicity
+from argil.llm import compression_rules, decontamination, mixing, quality, simhash_dedup, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_boosted_quality": quality.query,
     "op2_fair_queueing": mixing.query,
+    "op3_compression_bands": compression_rules.query,
     "op4_simhash_decontamination": decontamination.query,
     "op5_countmin_passages": substring_dedup.query,
     "op8_convolutional_toxicity": toxicity.query,
