@@ -19,7 +19,7 @@ _HEAD = frozenset("base basefont bgsound link meta title script style noscript t
 _HIDDEN = frozenset("head title script style template noscript noembed noframes iframe datalist rp audio video canvas object param source track area base link meta".split())
 #: Elements before and after which a line ends, and the empty lines that they set off.
 _BLOCKS = {t: 0 for t in "address article aside body center details dialog dir div dd dt fieldset figcaption footer form header hgroup html legend li main nav optgroup search section summary tr caption thead tbody tfoot".split()} | {t: 1 for t in "blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul listing xmp plaintext".split()}
-_CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr listing main menu nav ol p plaintext pre search section summary table ul xmp".split()) - {"table"} | {"table"}
+_CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr listing main menu nav ol p plaintext pre search section summary table ul xmp".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset("html table td th caption template object marquee applet".split())
 #: What a start tag closes, and where the search for it ends.
@@ -42,7 +42,8 @@ _SIBLINGS = {
 #: Nested tables deeper than this are laid out as blocks, and columns are aligned up to this width; no text is lost by either.
 _TABLE_DEPTH, _COLUMN = 16, 120
 
-_SPACE = re.compile(r"[ \t\n\f\r]+")
+#: What collapses to one space; a single space is one already.
+_SPACE = re.compile(r"[ \t\n\f\r]{2,}|[\t\n\f\r]")
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']*)))?")
 _QUOTE = re.compile(r"=\s*([\"'])")
@@ -235,7 +236,9 @@ class Flow:
     __slots__ = ("lines", "line", "space", "gap", "indent", "marker")
 
     def __init__(self) -> None:
-        self.lines, self.line, self.space, self.gap, self.indent, self.marker = [], [], False, 0, 0, ""
+        self.lines: list[str] = []
+        self.line: list[str] = []
+        self.space, self.gap, self.indent, self.marker = False, 0, 0, ""
 
     def _begin(self) -> None:
         if not self.line:
@@ -251,16 +254,15 @@ class Flow:
     def text(self, text: str) -> None:
         if not text:
             return
-        parts = _SPACE.split(text)
-        if not parts[0] and len(parts) > 1:
-            self.space = True
-        body = " ".join(p for p in parts if p)
+        body = _SPACE.sub(" ", text)
+        if body[0] == " ":
+            self.space, body = True, body[1:]
         if body:
             if self.space and self.line:
                 self.line.append(" ")
             self._begin()
-            self.line.append(body)
-            self.space = not parts[-1] and len(parts) > 1
+            self.space = body[-1] == " "
+            self.line.append(body[:-1] if self.space else body)
 
     def exact(self, text: str) -> None:
         """Text whose spaces and line ends are kept."""
@@ -496,7 +498,8 @@ def render(root: Node) -> str:
         if tables and tables[-1] and tag in ("table", "tr", "thead", "tbody", "tfoot") and not isinstance(tables[-1][-1], Flow):
             # text that lies loose in a table stands before it, as a browser puts it
             loose = [c for c in children if (isinstance(c, str) and not c.isspace()) or (isinstance(c, Node) and c.tag not in ("tr", "td", "th", "caption", "thead", "tbody", "tfoot", "colgroup", "col") and c.tag not in _HIDDEN)]
-            fit = [c for c in children if isinstance(c, Node) and c not in loose] if loose else [c for c in children if isinstance(c, Node)]
+            apart = set(map(id, loose))
+            fit = [c for c in children if isinstance(c, Node) and id(c) not in apart]
             children = loose + fit
         todo.extend((c, True) for c in reversed(children))
     return "\n".join(flows[0].finish()).replace("\xa0", " ")
