@@ -78,8 +78,9 @@ def score_band(score: Column) -> Column:
 
 
 def risk(raw: Column) -> Column:
-    """0 to 100 from the sum of weight times confidence."""
-    return F.least(F.lit(100), F.round(100 * (1 - F.exp(-raw.cast("double") / 16)))).cast("int")
+    """0 to 100 from the sum of weight times confidence; no sum, no risk."""
+    total = F.coalesce(raw.cast("double"), F.lit(0.0))
+    return F.least(F.lit(100), F.round(100 * (1 - F.exp(-total / 16)))).cast("int")
 
 
 def clamp(confidence: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argil.functions import dims
@@ -20,9 +20,12 @@ def windows_native(blobs: DataFrame, keys: list[str], window: int = dims.ENTROPY
     distinct byte is shuffled after a partial count."""
     n = F.octet_length("bytes")
     starts = F.when(n >= window, F.sequence(F.lit(0), n - window, F.lit(window))).otherwise(F.array().cast("array<int>"))
-    cut = blobs.select(*keys, F.explode(F.transform(starts, lambda o: F.struct(o.alias("off"), F.hex(F.substring(F.col("bytes"), o + 1, F.lit(window))).alias("hex")))).alias("w"))
-    pairs = F.sequence(F.lit(1), F.lit(2 * window - 1), F.lit(2))
-    each = cut.select(*keys, F.col("w.off").alias("off"), F.explode(F.transform(pairs, lambda i: F.substring(F.col("w.hex"), i, F.lit(2)))).alias("byte"))
+    def piece(off: Column) -> Column:
+        # one character a byte
+        return F.struct(off.alias("off"), F.split(F.decode(F.substring(F.col("bytes"), off + 1, F.lit(window)), "ISO-8859-1"), "").alias("chars"))
+
+    cut = blobs.select(*keys, F.explode(F.transform(starts, piece)).alias("w"))
+    each = cut.select(*keys, F.col("w.off").alias("off"), F.explode("w.chars").alias("byte"))
     counts = each.groupBy(*keys, "off", "byte").agg(F.count("*").alias("c"))
     p = F.col("c") / window
     return counts.groupBy(*keys, "off").agg((-F.sum(p * F.log2(p))).alias("entropy"))
@@ -42,7 +45,7 @@ def entropies(data: np.ndarray, window: int) -> np.ndarray:
 
 def windows(blobs: DataFrame, keys: list[str], window: int = dims.ENTROPY_WINDOW, threshold: float | None = None) -> DataFrame:
     """The same by an Arrow kernel, without a shuffle. With a threshold only the first window of each row that reaches it."""
-    schema = blobs.select(*keys).schema.add("off", "int").add("entropy", "double")
+    schema = blobs.select(*keys).schema.add("off", "integer").add("entropy", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

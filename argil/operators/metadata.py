@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from argil.functions import dims
 from argil.functions import expressions as X
 from argil.operators.findings import constants, finding, seq
+from argil.operators.pii import numbered
 
 PATHS, CLOUD, LINKS = dims.METADATA_RULES
 
@@ -23,7 +24,7 @@ def hits(value: Column) -> Column:
     def one(i: int, hit: Column) -> Column:
         return F.when(hit.isNotNull(), F.array(F.struct(F.lit(i).alias("rule"), F.lit(0).alias("n"), hit.alias("hit"))))
 
-    links = F.transform(X.matches(value, LINKS.pattern, LINKS.most), lambda h, n: F.struct(F.lit(2).alias("rule"), n.alias("n"), h.alias("hit")))
+    links = F.transform(X.matches(value, LINKS.pattern, LINKS.most), numbered(2))
     parts = (one(0, build_path(value)), one(1, X.first_match(value, CLOUD.pattern)), links)
     return F.flatten(F.array_compact(F.array(*parts)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +12,17 @@ from argil.functions import expressions as X
 from argil.operators.findings import finding, seq
 
 
+def numbered(rule: int) -> Callable[[Column, Column], Column]:
+    """A lambda that turns a match and its number into ``struct(rule, n, hit)``."""
+    return lambda hit, n: F.struct(F.lit(rule).alias("rule"), n.alias("n"), hit.alias("hit"))
+
+
 def hits(value: Column, rules: Sequence[dims.Rule] = dims.PII_RULES) -> Column:
     """Array of ``struct(rule, n, hit)``, all rules in one pass over a value: the first matches of each, of cards those that
     satisfy Luhn among the first matches."""
     parts = []
     for i, rule in enumerate(rules):
-        found = F.transform(X.matches(value, rule.pattern, rule.most), lambda h, n, i=i: F.struct(F.lit(i).alias("rule"), n.alias("n"), h.alias("hit")))
+        found = F.transform(X.matches(value, rule.pattern, rule.most), numbered(i))
         parts.append(F.filter(found, lambda s: X.luhn_ok(s.hit)) if rule.rule_id == dims.LUHN_RULE else found)
     return F.concat(*parts)
 

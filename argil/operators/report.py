@@ -44,7 +44,7 @@ def reports(artifacts: DataFrame, findings: DataFrame, min_severity: str = "info
     joined = artifacts.select("path", "format", "size").join(summed, "path", "left")
     zero = [F.coalesce(F.col(s), F.lit(0)).alias(s) for s in COUNTS]
     found = F.transform(F.array_sort(F.coalesce("found", F.array().cast(summed.schema["found"].dataType))), lambda f: f.dropFields("a", "b", "seq"))
-    return joined.select("path", "format", "size", F.coalesce(X.risk(F.col("raw")), F.lit(0)).alias("risk_score"), *zero, "worst", found.alias("findings"))
+    return joined.select("path", "format", "size", X.risk(F.col("raw")).alias("risk_score"), *zero, "worst", found.alias("findings"))
 
 
 def _json_finding(f: Column) -> Column:

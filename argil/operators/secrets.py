@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from argil.functions import dims
 from argil.functions import expressions as X
 from argil.operators.findings import finding, seq
+from argil.operators.pii import numbered
 
 _HITS = "path string, rule int, offset long, hit string"
 
@@ -36,7 +37,7 @@ def raw_hits(chunks: DataFrame, rules: Sequence[dims.Rule] = dims.SECRET_RULES)
 
 def text_hits(kv: DataFrame, rules: Sequence[dims.Rule] = dims.SECRET_RULES) -> DataFrame:
     """All matches in metadata values: ``path, ord, key, rule, n, hit``. Built-in functions only."""
-    parts = [F.transform(X.matches(F.col("value"), r.pattern), lambda h, n, i=i: F.struct(F.lit(i).alias("rule"), n.alias("n"), h.alias("hit"))) for i, r in enumerate(rules)]
+    parts = [F.transform(X.matches(F.col("value"), r.pattern), numbered(i)) for i, r in enumerate(rules)]
     return kv.select("path", "ord", "key", F.explode(F.concat(*parts)).alias("h")).select("path", "ord", "key", "h.*")
 
 
