@@ -131,15 +131,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Keep one row of each group: that of the group's smallest id, of its repeated rows any one. Rows without an id stay."""
-    groups = near_duplicates(docs, id_column, text_column)
-    lost = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct()
-    kept = docs.join(lost, docs[id_column].cast("long") == F.col("__lost"), "left_anti")
-    again = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    twice = again.select(F.col("doc_id").alias("__twice"))
-    same = docs[id_column].cast("long") == F.col("__twice")
-    single = kept.join(twice, same, "left_anti")
-    return single.unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_column]))
+    """Keep one row of each group: that of the group's smallest id, of its repeated rows any one. Rows without an id stay.
+
+    The documents are shuffled once, to meet what was decided about their ids; most ids have nothing decided.
+    """
+    groups = near_duplicates(docs, id_column, text_column).filter("doc_id IS NOT NULL")
+    decided = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("__lost"), F.count("*").alias("__n")).filter("__lost OR __n > 1")
+    marked = docs.join(decided, docs[id_column].cast("long") == F.col("__id"), "left").filter("__lost IS NULL OR NOT __lost")
+    once, again = marked.filter("__n IS NULL"), marked.filter("__n > 1")
+    return once.select(*docs.columns).unionByName(again.dropDuplicates([id_column]).select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

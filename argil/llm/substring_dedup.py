@@ -35,7 +35,7 @@ DEPTH = 2
 #: Counters of a sketch row per window of its block; a stranger passes all rows for about one window in fifty.
 WIDTH = 8
 #: Bytes of text in a group, at least; it grows with the root of the corpus, as groups times blocks are the rows of a shuffle.
-GROUP_BYTES, GROUP_ROOT = 16 << 20, 200
+GROUP_BYTES, GROUP_ROOT = 8 << 20, 40
 _WORD_BYTES = 6
 
 _ASKED = T.StructType([T.StructField("__b", T.IntegerType()), T.StructField("__g", T.IntegerType()), T.StructField("__n", T.LongType()), T.StructField("__blob", T.BinaryType())])
