@@ -142,7 +142,7 @@ WITH t AS (SELECT page_id, coalesce(CAST(page_id AS VARCHAR), '') AS key, 'WARC/
   || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS body FROM pages),
 h AS (SELECT page_id, key, CAST(strlen(body) AS BIGINT) AS length, sha256(body) AS digest, sha256(substr(body, 1, length(body) - 1) || chr(21)) AS wrong, substr(md5(key || '/replica'), 1, 2) AS fate FROM t),
 p AS (SELECT *, CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % (SELECT greatest(1, (count(*) + 999) // 1000) FROM h) AS archive FROM h),
-o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM p),
+o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM p),
 r AS (SELECT 0 AS side, archive, off, length, digest FROM o UNION ALL SELECT 1, archive, off, length, CASE WHEN fate IN ('01', '02') THEN wrong ELSE digest END FROM o WHERE fate <> '00'),
 l0 AS (SELECT side, archive, off // 65536 AS node, sha256(string_agg(sha256(off || ':' || length || ':' || digest), '' ORDER BY off)) AS hash FROM r GROUP BY ALL),
 l1 AS (SELECT side, archive, node // 16 AS node, sha256(string_agg(hash, '' ORDER BY l0.node)) AS hash FROM l0 GROUP BY side, archive, l0.node // 16),
