@@ -66,10 +66,10 @@ def first_match(value: Column, pattern: str) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes with a binary unit, one decimal from KiB on."""
+    """Bytes with a binary unit, one decimal from KiB on, a tie going to the even one."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB"), (4, "TiB")):
-        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / float(1024**power))).otherwise(out)
+        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(n / float(1024**power), 1))).otherwise(out)
     return out
 
 
