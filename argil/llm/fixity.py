@@ -46,10 +46,11 @@ def leaf(offset: str = "offset", length: str = "length", digest: str = "digest")
 def tree(records: DataFrame) -> list[DataFrame]:
     """Levels of the trees of all archives, leaves first: ``(archive, node, hash)`` each; the last has one root per archive.
 
-    ``records`` has ``archive, offset, length, digest``. A leaf range holds the records that begin in ``RANGE`` bytes.
+    ``records`` has ``archive, offset, length, digest``. A leaf range holds the records that begin in ``RANGE`` bytes. The leaf level
+    is checkpointed, a row for some dozen records, so that records are folded once however often the tree is read.
     """
     leaves = records.select("archive", "offset", F.floor(F.col("offset") / RANGE).alias("node"), leaf().alias("hash"))
-    levels = [_fold(leaves, ["archive", "node"], "offset")]
+    levels = [cut(_fold(leaves, ["archive", "node"], "offset"))]
     for k in range(1, LEVELS):
         up = F.lit(0).cast("long") if k == LEVELS - 1 else F.floor(F.col("node") / FANOUT)
         levels.append(_fold(levels[-1].select("archive", F.col("node").alias("child"), up.alias("node"), "hash"), ["archive", "node"], "child"))
@@ -72,19 +73,19 @@ def _differ(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> D
     return joined.filter(~F.col(value).eqNullSafe(F.col(f"_{value}"))).select(*(F.coalesce(k, f"_{k}").alias(k) for k in keys), value, f"_{value}")
 
 
-def compare(left: DataFrame, right: DataFrame) -> DataFrame:
+def compare(left: DataFrame, right: DataFrame, trees: tuple[list[DataFrame], list[DataFrame]] | None = None) -> DataFrame:
     """Records in which two replicas differ: ``archive, offset, status`` (``changed``, ``missing`` or ``extra`` in the right one).
 
     Roots are compared first; below, only children of nodes that differ are, down to the records of leaf ranges that differ. Where
-    replicas agree, nothing under the root is joined but an empty table.
+    replicas agree, nothing under the root is joined but an empty table. ``trees`` are those of the replicas, if at hand.
     """
-    a, b = tree(left), tree(right)
+    a, b = trees or (tree(left), tree(right))
     wrong = cut(_differ(a[-1], b[-1], ["archive", "node"], "hash").select("archive", "node"))
     for k in range(LEVELS - 2, -1, -1):
         up = F.lit(0).cast("long") if k == LEVELS - 2 else F.floor(F.col("node") / FANOUT)
         parents = wrong.select(F.col("archive").alias("p_archive"), F.col("node").alias("p_node"))
         under = [x.withColumn("up", up).join(parents, (F.col("archive") == F.col("p_archive")) & (F.col("up") == F.col("p_node")), "left_semi").select("archive", "node", "hash") for x in (a[k], b[k])]
-        wrong = _differ(*under, ["archive", "node"], "hash").select("archive", "node")
+        wrong = cut(_differ(*under, ["archive", "node"], "hash").select("archive", "node"))
     ranges = wrong.select(F.col("archive").alias("r_archive"), F.col("node").alias("r_node"))
     inside = [
         x.select("archive", "offset", leaf().alias("hash")).join(ranges, (F.col("archive") == F.col("r_archive")) & (F.floor(F.col("offset") / RANGE) == F.col("r_node")), "left_semi")
@@ -128,8 +129,9 @@ def replicas(pages: DataFrame, id_column: str = "page_id", url_column: str = "ur
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: place, digest and state in the second replica of every page's record, with the roots of its archive in both."""
     left, right, _ = replicas(read(spark, sf_dir, "pages"))
-    found = compare(left, right).select(F.col("archive").alias("f_archive"), F.col("offset").alias("f_offset"), "status")
-    roots = [tree(x)[-1].select(F.col("archive").alias(f"{n}_archive"), F.col("hash").alias(f"{n}_root")) for x, n in ((left, "left"), (right, "right"))]
+    trees = tree(left), tree(right)
+    found = cut(compare(left, right, trees)).select(F.col("archive").alias("f_archive"), F.col("offset").alias("f_offset"), "status")
+    roots = [t[-1].select(F.col("archive").alias(f"{n}_archive"), F.col("hash").alias(f"{n}_root")) for t, n in zip(trees, ("left", "right"))]
     marked = left.join(found, (F.col("archive") == F.col("f_archive")) & (F.col("offset") == F.col("f_offset")), "left")
     rooted = reduce(lambda df, r: df.join(r, F.col("archive") == F.col(r.columns[0]), "left"), roots, marked)
     return rooted.select("page_id", "archive", "offset", "length", "digest", F.coalesce("status", F.lit("intact")).alias("status"), "left_root", "right_root")
