@@ -9,8 +9,9 @@ import sys
 from pyspark.sql import SparkSession
 
 from argil import api
+from argil.functions import rules
 from argil.functions.dims import SEVERITIES
-from argil.operators import report
+from argil.operators import packs, report
 from argil.sources.files import list_targets
 
 
@@ -24,12 +25,17 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     p.add_argument("--fail-on", choices=SEVERITIES, default="high")
     p.add_argument("--no-color", action="store_true")
     p.add_argument("--merge-sarif", action="store_true", help="one SARIF run per file, where else only the first file's is written")
+    p.add_argument("--rules", help="a rule pack, evaluated beside the built-in scanners")
     a = p.parse_args(arguments)
     if not list_targets(a.path, a.recursive):
         print(f"argil: nothing to scan at {a.path}", file=sys.stderr)
         return 2
     spark = spark or SparkSession.builder.appName("argil").getOrCreate()
-    found = api.scan(spark, a.path, a.recursive)
+    scanners = dict(api.SCANNERS)
+    if a.rules:
+        with open(a.rules, encoding="utf-8") as f:
+            scanners["rules"] = packs.scanner(rules.load(f.read()))
+    found = api.scan(spark, a.path, a.recursive, scanners)
     colour = not a.no_color and not a.output and sys.stdout.isatty()
     column = {"human": report.as_text(colour), "json": report.as_json(), "sarif": report.as_sarif()}[a.format]
     rows = found.reports(a.min_severity).select("path", "worst", column.alias("out")).orderBy("path").collect()

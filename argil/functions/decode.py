@@ -222,6 +222,7 @@ class Disassembly:
 
     imports: list[tuple[str, str, int]] = field(default_factory=list)
     has_reduce: bool = False
+    opcodes: set[int] = field(default_factory=set)
     truncated: bool = False
     stop_offset: int | None = None
 
@@ -243,12 +244,14 @@ def disassemble(data: bytes) -> Disassembly:
     out, stack, i, n = Disassembly(), [], 0, len(data)
 
     def stop(at: int) -> Disassembly:
+        out.opcodes.intersection_update(_KNOWN)
         out.truncated, out.stop_offset = True, at
         return out
 
     while i < n:
         op, start = data[i], i
         i += 1
+        out.opcodes.add(op)
         if op in _PLAIN:
             continue
         if op in _TEXT or op in _SKIP:
@@ -289,3 +292,11 @@ def disassemble(data: bytes) -> Disassembly:
         if len(stack) > STACK:
             del stack[:STACK_DROP]
     return out
+
+
+_KNOWN = _PLAIN | _TWO_LINES | _LINE_PUSH | _LINE | {*_TEXT, *_SKIP, *_FIXED, 0x92, 0x93, ord("R")}
+
+
+def opcodes(data: bytes) -> set[int]:
+    """Opcodes of a stream up to where it breaks off."""
+    return disassemble(data).opcodes

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argil import api
-from argil.functions import dims
+from argil.functions import dims, rules
 from argil.functions import expressions as X
-from argil.operators import entropy, metadata, pickles, pii, report, secrets
+from argil.operators import entropy, metadata, packs, pickles, pii, report, secrets
 from argil.operators.findings import at_least, gate, ordered, worst
 from argil.plans import inputs, oracle
 from argil.sources import files
@@ -292,6 +292,27 @@ _add("import_classify", lambda s, d: pickles.classified(inputs.imports(s, d)).fi
 _add("import_unexpected", lambda s, d: pickles.unexpected(inputs.imports(s, d)).select("path", "module", "name"), _CLASSIFIED + "SELECT path, module, name FROM c WHERE severity IS NULL AND NOT benign")
 _add("import_benign", lambda s, d: pickles.classified(inputs.imports(s, d)).filter("severity IS NULL AND benign").select("path", "module", "name"), _CLASSIFIED + "SELECT path, module, name FROM c WHERE severity IS NULL AND benign")
 
+# rule packs
+
+PACK = r"""
+MODEL_RULE cloud_user { meta: id = "ORG-001" severity = high target: metadata strings: $a = /s3:\/\/bucket/ $b = "/home/" condition: $a and $b }
+MODEL_RULE no_contact { meta: id = "ORG-002" severity = low target: metadata strings: $m = /user1[0-9]*@example\.com/ condition: not $m }
+MODEL_RULE either { meta: id = "ORG-003" target: metadata strings: $p = /\b[A-Z]{5}\d{4}K\b/ $b = "BUILDING" $u = /C:\\Users/ condition: $p and ($b or $u) and not import("torch.*") }
+"""
+
+
+def _pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.text_scan(inputs.customer_kv(spark, sf_dir), rules.load(PACK))
+
+
+_HAS = "bool_or(regexp_matches(value, {}))"
+_add(
+    "rule_pack",
+    _pack,
+    f"""WITH f AS (SELECT path, {_HAS.format("'s3://bucket'")} AS a, {_HAS.format("'/home/'")} AS b, {_HAS.format("'user1[0-9]*@example[.]com'")} AS m, {_HAS.format("'[A-Z]{5}[0-9]{4}K'")} AS p, {_HAS.format("'BUILDING'")} AS g, {_HAS.format("'C:.Users'")} AS u FROM {inputs.CUSTOMER_SQL} GROUP BY path)
+    SELECT path, 'ORG-001' AS rule_id FROM f WHERE a AND b UNION ALL SELECT path, 'ORG-002' FROM f WHERE NOT m UNION ALL SELECT path, 'ORG-003' FROM f WHERE p AND (g OR u)""",
+)
+
 # containers, from bytes in code
 
 
