@@ -150,9 +150,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share."""
+    """The folder that all executors share. A session on one machine that names none gets a temporary one; a cluster must name it."""
     context = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="argil-")
         atexit.register(shutil.rmtree, own, True)
         context.setCheckpointDir(own)

@@ -27,6 +27,8 @@ BUCKETS, TABLES, DIM, WIDTHS, FILTERS = 1 << 16, 5, 4, (1, 2, 3), 8
 STEMS = (4, 6, 8)
 EPOCHS, BATCH, RATE, DECAY, SEED = 6, 64, 0.01, 1e-4, 7
 THRESHOLD = 0.5
+#: Between these a language's own threshold may lie; few calibration rows would else put it anywhere between two scores.
+BOUNDS = (0.2, 0.8)
 _CHUNK = 1 << 18
 
 _FOLD = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
@@ -224,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     # the best threshold over all languages becomes THRESHOLD
     shift = np.log(level / (1 - level)) if 0 < level < 1 else 0.0
     model.out_bias -= shift
-    return model, calibrate(1 / (1 + (1 / np.clip(scores, 1e-12, 1 - 1e-12) - 1) * np.exp(shift)), y[apart], langs)
+    moved = 1 / (1 + (1 / np.clip(scores, 1e-12, 1 - 1e-12) - 1) * np.exp(shift))
+    return model, {k: float(np.clip(v, *BOUNDS)) for k, v in calibrate(moved, y[apart], langs).items()}
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", score_column: str = "score") -> DataFrame:
