@@ -69,3 +69,15 @@ def worst(findings: DataFrame) -> DataFrame:
 def gate(findings: DataFrame, fail_on: str = "high") -> DataFrame:
     """One row: exit code 1 if any finding is as severe as ``fail_on``, else 0. Without findings the worst is info."""
     return worst(findings).select(F.when(F.col("worst") >= dims.SEVERITIES.index(fail_on), 1).otherwise(0).alias("exit_code"), "worst")
+
+
+def new_since(findings: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Findings that an earlier scan doesn't have: same artifact, rule, place and evidence count as the same. An equi anti-join."""
+    key = ["path", "rule_id", "component", "offset", "evidence"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("component", F.col("location.component")).withColumn("offset", F.col("location.offset"))
+
+    old = keyed(baseline).select(*(F.col(k).alias(f"_{k}") for k in key)).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return keyed(findings).join(old, same, "left_anti").drop("component", "offset")

@@ -20,7 +20,7 @@ from argil import api
 from argil.functions import dims, rules
 from argil.functions import expressions as X
 from argil.operators import entropy, metadata, packs, pickles, pii, report, secrets
-from argil.operators.findings import at_least, gate, ordered, worst
+from argil.operators.findings import at_least, gate, new_since, ordered, worst
 from argil.plans import inputs, oracle
 from argil.sources import files
 
@@ -240,6 +240,25 @@ def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("ci_gate", _gates, f"{_WITH_DOCUMENTS}, o AS (SELECT {oracle.sev_ord('severity')} AS o FROM f) SELECT m AS min_severity, t AS fail_on, CAST(CASE WHEN coalesce((SELECT max(o) FROM o WHERE o >= a), 0) >= b THEN 1 ELSE 0 END AS INTEGER) AS exit_code FROM (VALUES ('info', 'info', 0, 0), ('info', 'high', 0, 3), ('info', 'critical', 0, 4), ('critical', 'high', 4, 3), ('medium', 'medium', 2, 2)) AS g(m, t, a, b)")
 
+
+
+def _new_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan of all customers finds that one of two thirds of them didn't."""
+    kv = inputs.customer_kv(spark, sf_dir)
+    old = kv.filter(F.substring_index("path", "/", -1).cast("long") % 3 != 0)
+    return new_since(api.scan_text(kv), api.scan_text(old)).select(*_COLUMNS)
+
+
+_add("baseline_diff", _new_since, f"WITH kv AS {inputs.CUSTOMER_SQL}, f AS ({oracle.findings('kv')}) SELECT {', '.join(_COLUMNS)} FROM f WHERE CAST(split_part(path, '/', 2) AS BIGINT) % 3 = 0")
+
+
+def _first_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the first path, as the single-run rendering of many targets gives it."""
+    return report.scores(_findings(spark, sf_dir)).orderBy("path").limit(1).select("path", "risk_score")
+
+
+_add("first_report", _first_report, f"{_WITH_DOCUMENTS} SELECT path, {oracle.risk(_RAW)} AS risk_score FROM f GROUP BY path ORDER BY path LIMIT 1")
+
 # entropy
 
 
