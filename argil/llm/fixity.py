@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+import zlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from argil.llm._text import cut, read
 RANGE, FANOUT, LEVELS = 1 << 16, 16, 5
 #: Records of an archive, on average.
 RECORDS = 1000
+_PIECE = 1 << 16
+_LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*([0-9]{1,18})[ \t]*\r\n", re.I)
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -33,6 +39,56 @@ def lay_out(records: DataFrame, archives: int, order: Sequence[str]) -> DataFram
     return records.withColumn("archive", archive).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
+def split(data: bytes) -> list[tuple[int, int]]:
+    """``(offset, length)`` of all records of a WARC file, plain or compressed record by record.
+
+    They cover every byte: what follows where no further record can be read, as in a file cut off or overwritten, is one more.
+    """
+    spans, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        length = 0
+        if data[at : at + 2] == b"\x1f\x8b":
+            member = zlib.decompressobj(wbits=31)
+            to = at
+            try:
+                while not member.eof and to < len(data):
+                    member.decompress(view[to : to + _PIECE])
+                    to += _PIECE
+                length = min(to, len(data)) - at - len(member.unused_data) if member.eof else 0
+            except zlib.error:
+                length = 0
+        else:
+            head = data.find(b"\r\n\r\n", at)
+            size = _LENGTH.search(data, at, head + 2) if data.startswith(b"WARC/", at) and head >= 0 else None
+            length = head + 8 + int(size[1]) - at if size else 0
+        if length <= 0 or at + length > len(data):
+            length = len(data) - at
+        spans.append((at, length))
+        at += length
+    return spans
+
+
+def archive_records(files: DataFrame) -> DataFrame:
+    """``(path, archive, offset, length, digest)`` of the records of WARC files ``(path, content)``, as the binary source reads them.
+
+    Archives are numbered in the order of paths, so replicas are compared file by file if the ends of their paths, given as
+    ``path``, agree. A file is read by one task; only digests leave it. A null or empty file has no records, but keeps its number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                data = content.as_py() or b""
+                spans = split(data)
+                digests = [hashlib.sha256(memoryview(data)[at : at + n]).hexdigest() for at, n in spans]
+                columns = [pa.array([path.as_py()] * len(spans), pa.string()), *(pa.array([s[i] for s in spans], pa.int64()) for i in range(2)), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "offset", "length", "digest"])
+
+    numbered = files.select("path").distinct().withColumn("archive", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
+    found = files.select("path", "content").mapInArrow(run, "path string, offset long, length long, digest string")
+    return found.join(numbered, "path").select("path", "archive", "offset", "length", "digest")
+
+
 def _fold(children: DataFrame, keys: list[str], child: str) -> DataFrame:
     """Hash of each node: SHA-256 of its children's hashes in their order. A node's children are few, whatever the size of all."""
     parts = F.array_sort(F.collect_list(F.struct(child, "hash")))

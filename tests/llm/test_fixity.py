@@ -1,5 +1,8 @@
 """Merkle audit against direct comparison."""
 
+import gzip
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -46,3 +49,31 @@ def test_no_records(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     left, right, _ = fixity.replicas(pages)
     assert left.count() == right.count() == 0
+
+
+def warc(parts, packed):
+    records = [b"WARC/1.1\r\nWARC-Type: resource\r\ncontent-length: %d\r\n\r\n%b\r\n\r\n" % (len(p), p) for p in parts]
+    return [gzip.compress(r, mtime=0) if packed else r for r in records]
+
+
+def test_warc_files(spark):
+    r = random.Random(0)
+    parts = [r.randbytes(r.randint(0, 100_000)) for _ in range(30)]
+    for packed in (False, True):
+        records = warc(parts, packed)
+        data = b"".join(records)
+        spans = fixity.split(data)
+        assert [data[a : a + n] for a, n in spans] == records
+        for cut in (0, 1, 50, len(data) // 2, len(data) - 1):
+            spans = fixity.split(data[:cut])
+            assert sum(n for _, n in spans) == cut and all(a == b + m for (a, _), (b, m) in zip(spans[1:], spans))
+        place = sum(map(len, records[:7])) + len(records[7]) - 20
+        spoiled = bytearray(data)
+        spoiled[place] ^= 1
+        files = lambda x: spark.createDataFrame([("a.warc", bytearray(x)), ("b.warc", bytearray(data)), ("c.warc", None)], "path string, content binary")
+        left, right = fixity.archive_records(files(data)), fixity.archive_records(files(bytes(spoiled)))
+        assert left.count() == 60
+        found = fixity.compare(left, right).collect()
+        assert min((x.archive, x.offset) for x in found) == (0, sum(map(len, records[:7])))
+        if not packed:
+            assert len(found) == 1 and found[0].status == "changed"
