@@ -133,13 +133,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Keep one row of each group: that of the group's smallest id, of its repeated rows any one. Rows without an id stay.
 
-    The documents are shuffled once, to meet what was decided about their ids; most ids have nothing decided.
+    The documents are shuffled once, to part from the ids that lost; only if some id is repeated are those rows sought in a second
+    pass.
     """
     groups = near_duplicates(docs, id_column, text_column).filter("doc_id IS NOT NULL")
-    decided = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("__lost"), F.count("*").alias("__n")).filter("__lost OR __n > 1")
-    marked = docs.join(decided, docs[id_column].cast("long") == F.col("__id"), "left").filter("__lost IS NULL OR NOT __lost")
-    once, again = marked.filter("__n IS NULL"), marked.filter("__n > 1")
-    return once.select(*docs.columns).unionByName(again.dropDuplicates([id_column]).select(*docs.columns))
+    decided = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("__lost"), F.count("*").alias("__n"))
+    decided = cut(decided.filter("__lost OR __n > 1"))
+    same = docs[id_column].cast("long") == F.col("__id")
+    kept = docs.join(decided, same, "left_anti")
+    again = decided.filter("NOT __lost")
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(again, same, "left_semi").dropDuplicates([id_column]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
