@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
 
 
-def held_out(id_column: str) -> F.Column:
+def held_out(id_column: str) -> Column:
     """Whether a document is kept from training: CRC-32 of its id as text is divisible by ``FOLDS``."""
     return (F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS == 0).alias("held_out")
 

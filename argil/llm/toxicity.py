@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argil.llm._labels import held_out, sample
@@ -247,7 +247,7 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", score_column
     return docs.select(*rest).mapInArrow(run, schema)
 
 
-def threshold(by_lang: dict, lang_column: str = "lang") -> F.Column:
+def threshold(by_lang: dict, lang_column: str = "lang") -> Column:
     """The calibrated threshold of a row's language."""
     value = F.lit(float(by_lang.get("", THRESHOLD)))
     for name, x in by_lang.items():
