@@ -52,10 +52,12 @@ def luhn_ok(value: Column) -> Column:
     return F.when(n < 13, F.lit(False)).otherwise(total % 10 == 0)
 
 
-def matches(value: Column, pattern: str, most: int | None = None) -> Column:
+def matches(value: Column, pattern: str, most: int | None = None, needs: Sequence[str] = ()) -> Column:
     """All matches, or the first ``most``. The pattern is a literal, so that it is compiled once; digits, spaces and word borders are
-    those of Unicode."""
+    those of Unicode. A value that holds none of ``needs`` is not searched."""
     found = F.regexp_extract_all(value, F.lit("(?U)" + pattern), F.lit(0))
+    if needs:
+        found = F.when(reduce(Column.__or__, (F.contains(value, F.lit(n)) for n in needs)), found).otherwise(F.array().cast("array<string>"))
     return found if most is None else F.slice(found, 1, most)
 
 

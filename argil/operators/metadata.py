@@ -24,7 +24,7 @@ def hits(value: Column) -> Column:
     def one(i: int, hit: Column) -> Column:
         return F.when(hit.isNotNull(), F.array(F.struct(F.lit(i).alias("rule"), F.lit(0).alias("n"), hit.alias("hit"))))
 
-    links = F.transform(X.matches(value, LINKS.pattern, LINKS.most), numbered(2))
+    links = F.transform(X.matches(value, LINKS.pattern, LINKS.most, LINKS.needs), numbered(2))
     parts = (one(0, build_path(value)), one(1, X.first_match(value, CLOUD.pattern)), links)
     return F.flatten(F.array_compact(F.array(*parts)))
 

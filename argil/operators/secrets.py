@@ -37,7 +37,7 @@ def raw_hits(chunks: DataFrame, rules: Sequence[dims.Rule] = dims.SECRET_RULES)
 
 def text_hits(kv: DataFrame, rules: Sequence[dims.Rule] = dims.SECRET_RULES) -> DataFrame:
     """All matches in metadata values: ``path, ord, key, rule, n, hit``. Built-in functions only."""
-    parts = [F.transform(X.matches(F.col("value"), r.pattern), numbered(i)) for i, r in enumerate(rules)]
+    parts = [F.transform(X.matches(F.col("value"), r.pattern, needs=r.needs), numbered(i)) for i, r in enumerate(rules)]
     return kv.select("path", "ord", "key", F.explode(F.concat(*parts)).alias("h")).select("path", "ord", "key", "h.*")
 
 

@@ -20,12 +20,19 @@ CUSTOMER_PAIRS = (
 )
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; one of fewer files than there are cores is dealt out, as a file may be a single row group, which one task
+    reads. Tables of many files stay as they are."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if len(found.inputFiles()) < cores else found
+
+
 def documents_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_as_metadata(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return text_as_metadata(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 def pages_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_as_metadata(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+    return text_as_metadata(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
 
 
 def urls_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
