@@ -1,8 +1,9 @@
-"""Near-duplicate documents by SimHash, joined on Golay-code fuzzy keys."""
+"""Near-duplicate documents: by SimHash, joined on Golay-code fuzzy keys, or by exact similarity of their bags of shingles."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argil.llm import golay
-from argil.llm._text import IS_WORD, cut, ranges, raw, read, slices, words, xxh64_spans
+from argil.llm._text import IS_WORD, cut, hash_spans, hash_windows, mix64, ranges, raw, read, slices, window_starts, words, xxh64_spans
 from argil.llm.components import components
 
 SHINGLE, SEED = 3, 42
@@ -18,6 +19,13 @@ SHINGLE, SEED = 3, 42
 RADIUS = 2
 _LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Documents, by the hash of their id, whose shingles are counted to put the common ones last, and the most that are put there.
+#: They only decide how many strangers are compared, never what is found.
+COUNTED, COMMON = 10_000, 1 << 16
+#: Keys beyond the fewest are one for so many shingles; the more, the more of them similar bags must share.
+FURTHER = 20
+#: Up to so many documents are picked out by id where they are read; more are joined.
+PICKED = 1_000_000
 _HASH_ROWS = 1 << 16
 _BYTE_PLACE = np.arange(0, 2048, 256, dtype=np.int16)
 #: The bits of each byte, lowest first.
@@ -105,38 +113,200 @@ def links(classes: DataFrame) -> DataFrame:
     return left.join(right, "k").filter(near & (F.col("u") != F.col("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Group documents whose SimHash fingerprints differ in two bits or fewer, directly or through others.
+def bags(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each text of a slice, repeats included, and the first of each row. Fewer words are one shingle."""
+    data = _LOWER[data]
+    starts, ends, first = words(data, offsets)
+    h = hash_spans(data, starts, ends)
+    places, row = window_starts(first, shingle)
+    found, rows = [hash_windows(h, shingle)[places]], [row]
+    n = np.diff(first)
+    for few in range(1, shingle):
+        short = np.flatnonzero(n == few)
+        found.append(mix64(hash_windows(h, few)[first[short]] + np.uint64(few)) if len(short) else np.zeros(0, dtype=np.uint64))
+        rows.append(short)
+    hashes, row = np.concatenate(found), np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    return hashes[order], np.searchsorted(row[order], np.arange(len(n) + 1))
+
+
+def digests(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each bag, whatever the order of its shingles."""
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix64(hashes ^ np.uint64(SEED)), dtype=np.uint64)))
+    return mix64((total[first[1:]] - total[first[:-1]]) ^ mix64(np.diff(first).astype(np.uint64)))
+
+
+def numbered(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bags as sets: the k-th of equal shingles gets a hash of its own. Hashes, in the order of their bags, and their rows."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    hashes = hashes[np.lexsort((hashes, row))]
+    fresh = np.ones(len(hashes), dtype=bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    at = np.arange(len(hashes))
+    k = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    again = k > 0
+    hashes[again] = mix64(hashes[again] + k[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return hashes, row
+
+
+def _bag_digests(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(doc_id, fp)`` of ``docs(doc_id, text)``, ``fp`` the hash of a document's bag of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                fps = digests(*bags(*raw(part.column(1)), shingle))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+
+    return docs.mapInArrow(run, "doc_id long, fp long")
+
+
+def _common(docs: DataFrame, shingle: int, n: int) -> np.ndarray:
+    """Shingles that several of a bounded sample of documents have, sorted; at most ``COMMON``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(numbered(*bags(*raw(part.column(1)), shingle))[0].view(np.int64))], names=["k"])
+
+    share = min(1.0, COUNTED / max(n, 1))
+    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    often = chosen.mapInArrow(run, "k long").groupBy("k").count().filter("count > 3").orderBy(F.desc("count"), "k").limit(COMMON)
+    return np.sort(often.select("k").toArrow().column("k").to_numpy().view(np.uint64))
+
+
+def similar(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float, n: int) -> DataFrame:
+    """All pairs of classes whose bags of shingles have a weighted Jaccard similarity of ``similarity`` or more: ``(u, v)``, ids.
+
+    ``docs(doc_id, text)`` has no null id; ``classes(fp, id)`` has one row for each distinct bag. Two such bags share ``similarity`` of
+    the larger one's shingles. So, if all are sorted in one order, they share one of the first ``n - ceil(similarity * n) + 1`` of
+    each, and with ``e`` more of each ``e`` more: these are the keys, of which a pair must share that many, and nothing is lost,
+    whatever the order. It has the common shingles last, to meet few strangers. Pairs are then verified on all shingles.
+    """
+    ratio = Fraction(str(similarity))
+    up, down = ratio.numerator, ratio.denominator
+    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle, n))  # of a bounded size
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, first = bags(*raw(part.column(1)), shingle)
+                fps = digests(hashes, first)
+                hashes, row = numbered(hashes, first)
+                late = np.zeros(len(hashes), dtype=bool)
+                if len(common):
+                    late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+                hashes = hashes[np.lexsort((hashes, late, row))]
+                size = np.diff(first)
+                count = np.where(size > 0, size - -(-up * size // down) + 1 + size // FURTHER, 0)
+                at, row = ranges(first[:-1], count), np.repeat(np.arange(len(size)), count)
+                columns = [(hashes[at] >> np.uint64(16)).view(np.int64), fps[row].view(np.int64), size[row]]  # 48 bits tell keys apart
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "fp", "size"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [tuple(batch.column(i).to_numpy() for i in range(3)) for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        k, fp, size = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((fp, size, k))
+        k, fp, size = k[order], fp[order], size[order]
+        fresh = np.ones(len(k), dtype=bool)  # documents of one bag have the same keys
+        fresh[1:] = (k[1:] != k[:-1]) | (fp[1:] != fp[:-1])
+        k, fp, size = k[fresh], fp[fresh], size[fresh]
+        spare = -(-up * size // down) - size // FURTHER
+        left, lag = np.arange(len(k)), 0
+        while len(left):
+            lag += 1
+            left = left[left + lag < len(k)]
+            left = left[(k[left] == k[left + lag]) & (down * size[left] >= up * size[left + lag])]
+            right = left + lag
+            need = -(-up * (size[left] + size[right]) // (up + down)) - np.maximum(spare[left], spare[right]) + 1
+            a, b = fp[left], fp[right]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, fps = few.value
+        for batch in batches:
+            doc_id = batch.column(0).to_numpy()
+            lo, hi = np.searchsorted(ids, doc_id), np.searchsorted(ids, doc_id, side="right")
+            row, at = np.repeat(np.arange(len(doc_id)), hi - lo), ranges(lo, hi - lo)
+            yield from whole([pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(fps[at])], names=["doc_id", "text", "wanted"])])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, first = bags(*raw(part.column(1)), shingle)
+                own = digests(hashes, first).view(np.int64) == part.column(2).to_numpy()
+                hashes, _ = numbered(hashes, first)
+                kept = np.flatnonzero(own)
+                bodies = [np.sort(hashes[first[i] : first[i + 1]]).tobytes() for i in kept.tolist()]
+                yield pa.RecordBatch.from_arrays([part.column(2).take(pa.array(kept)), pa.array(bodies, pa.binary())], names=["fp", "bag"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append((up + down) * both >= up * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    met = docs.mapInArrow(key, "k long, fp long, size long").repartition("k").mapInArrow(meet, "a long, b long, need long")
+    pairs = cut(met.groupBy("a", "b", "need").count().filter("count >= need").select("a", "b"))
+    wanted = cut(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(classes, "fp").select(F.col("id").alias("doc_id"), F.col("fp").alias("wanted")))
+    if wanted.count() <= PICKED:
+        table = wanted.orderBy("doc_id", "wanted").toArrow()
+        few = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("doc_id", "wanted")))
+        bodies = docs.mapInArrow(picked, "fp long, bag binary")
+    else:
+        bodies = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(whole, "fp long, bag binary")
+    found = cut(bodies.dropDuplicates(["fp"]))
+    first, second = (found.select(F.col("fp").alias(f), F.col("bag").alias(f"bag_{f}")) for f in ("a", "b"))
+    linked = pairs.join(first, "a").join(second, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(verify, "a long, b long")
+    ids = [classes.select(F.col("fp").alias(f), F.col("id").alias(f"id_{f}")) for f in ("a", "b")]
+    named = linked.join(ids[0], "a").join(ids[1], "b").filter("id_a <> id_b")
+    return named.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """Group documents whose SimHash fingerprints differ in two bits or fewer, directly or through others; with ``similarity``, those
+    whose bags of shingles have at least that weighted Jaccard similarity instead, see ``similar``.
 
-    A-Z are lower-cased; shingles are three words joined by a space, repeats included; fewer words are one shingle, and a null or
-    empty text has fingerprint zero, linked like any other. Returns one row per input row: ``doc_id``, ``fp`` (long),
-    ``component_id`` (smallest id reachable). A null id keeps its row, is in no group and has a null ``component_id``; rows that
-    share an id are one document with several fingerprints, all linked. Other columns are neither read nor returned. An empty
-    table gives no rows.
+    A-Z are lower-cased; shingles are ``shingle`` words, joined by a space for fingerprints, repeats included; fewer words are one
+    shingle, and a null or empty text has fingerprint zero, linked like any other. Returns one row per input row: ``doc_id``, ``fp``
+    (long; with ``similarity`` the hash of the bag), ``component_id`` (smallest id reachable). A null id keeps its row, is in no group
+    and has a null ``component_id``; rows that share an id are one document with several fingerprints, all linked. Other columns are
+    neither read nor returned. An empty table gives no rows.
 
     Documents of one fingerprint become one class before anything is joined, so that a group of copies of any size is one row;
     its aggregation is combined before the shuffle. The table of fingerprints is checkpointed, 16 bytes a document.
     """
-    fps = cut(fingerprints(docs, id_column, text_column))
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    if similarity is None and shingle != SHINGLE:
+        raise ValueError("fingerprints are of three words")
+    fps = cut(fingerprints(docs, id_column, text_column) if similarity is None else _bag_digests(texts, shingle))
     named = fps.filter("doc_id IS NOT NULL")
     classes = cut(named.groupBy("fp").agg(F.min("doc_id").alias("id")))
     # one document, several rows: its classes are linked through its id
     several = named.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("doc_id")
     shared = named.join(several, "doc_id", "left_semi").distinct().join(classes, "fp")
     rows = shared.select(F.col("id").alias("u"), F.col("doc_id").alias("v")).filter("u <> v")
-    found = components(links(classes).union(rows))
+    near = links(classes) if similarity is None else similar(texts.filter("doc_id IS NOT NULL"), classes, shingle, similarity, fps.count())
+    found = components(near.union(rows))
     roots = classes.join(found, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     return fps.join(roots, "fp", "left").select("doc_id", "fp", own)
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Keep one row of each group: that of the group's smallest id, of its repeated rows any one. Rows without an id stay.
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """Keep one row of each group of ``near_duplicates``: that of the group's smallest id, of its repeated rows any one. Rows without
+    an id stay.
 
     The documents are shuffled once, to part from the ids that lost; only if some id is repeated are those rows sought in a second
     pass.
     """
-    groups = near_duplicates(docs, id_column, text_column).filter("doc_id IS NOT NULL")
+    groups = near_duplicates(docs, id_column, text_column, shingle, similarity).filter("doc_id IS NOT NULL")
     decided = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("__lost"), F.count("*").alias("__n"))
     decided = cut(decided.filter("__lost OR __n > 1"))
     same = docs[id_column].cast("long") == F.col("__id")
