@@ -5,7 +5,7 @@ whole word, so that two words are confused only if they meet in both tables, and
 that an inflected word is like its stem. Filters of several widths slide over a document's words; each filter's
 maximum over the whole document, after a rectifier, goes into a logistic layer. Embeddings start from the smoothed log-odds of
 their bucket plus noise; a bucket that no training document has stays zero and is neutral. Thresholds are calibrated by language
-on training rows set apart; the score itself never sees the language.
+on all labelled rows that the fit didn't see; the score itself never sees the language.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argil.llm._labels import held_out, sample
-from argil.llm._text import hash_spans, raw, read, slices
+from argil.llm._labels import held_out, labelled, sample
+from argil.llm._text import cut, hash_spans, raw, read, slices
 
 #: Most training rows of each class, a proven bound of what reaches the driver; whole texts are read all the same.
 SAMPLE = 2000
@@ -29,6 +29,8 @@ EPOCHS, BATCH, RATE, DECAY, SEED = 6, 64, 0.01, 1e-4, 7
 THRESHOLD = 0.5
 #: Between these a language's own threshold may lie; few calibration rows would else put it anywhere between two scores.
 BOUNDS = (0.2, 0.8)
+#: Calibration counts rows in bins of the score's log-odds, so many a unit and up to this far from zero, for so many languages.
+BINS, FAR, LANGS = 64, 16, 200
 _CHUNK = 1 << 18
 
 _FOLD = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
@@ -177,18 +179,21 @@ def train(docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
     return m
 
 
-def calibrate(scores: np.ndarray, y: np.ndarray, langs: list[str | None]) -> dict[str | None, float]:
-    """Threshold of best F1 for each language with both classes; "" is that of all rows, for any other language."""
+def calibrate(scores: np.ndarray, y: np.ndarray, langs: list[str | None], count: np.ndarray) -> dict[str | None, float]:
+    """Threshold of best F1 for each language with both classes; "" is that of all rows, for any other language.
+
+    A row is all documents of one score, class and language; ``count`` is ``(n, 2)``: how many were seen, and for how many they stand.
+    """
     found: dict[str | None, float] = {}
     names = np.array([x if x is not None else "" for x in langs], dtype=object)
     for name in ["", *sorted(set(names) - {""})]:
         own = names == name if name else np.ones(len(y), dtype=bool)
-        if own.sum() < 50 or not 0 < y[own].sum() < own.sum():
+        if count[own, 0].sum() < 50 or not 0 < y[own].sum() < own.sum():
             continue
         order = np.argsort(-scores[own], kind="stable")
-        s, t = scores[own][order], y[own][order]
-        hits, n = np.cumsum(t), np.arange(1, len(t) + 1)
-        f1 = 2 * hits / (n + t.sum())
+        s, t, w = scores[own][order], y[own][order], count[own, 1][order]
+        hits, n = np.cumsum(t * w), np.cumsum(w)
+        f1 = 2 * hits / (n + hits[-1])
         f1[:-1][s[:-1] == s[1:]] = -1  # a threshold can't part equal scores
         best = int(f1.argmax())
         below = s[best + 1] if best + 1 < len(s) else 0.0
@@ -196,20 +201,52 @@ def calibrate(scores: np.ndarray, y: np.ndarray, langs: list[str | None]) -> dic
     return found
 
 
+def unseen(docs: DataFrame, labels: DataFrame, label: str, model: Model, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str | None], np.ndarray]:
+    """Scores, classes, languages and numbers of all labelled rows of ``docs(doc_id, lang, text)`` but the ``trained``: a row for each
+    bin, class and language, so that their number is bounded. Documents are scored where they are read; texts never move."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, np.sort(trained)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, trained = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                part = part.filter(pa.array(~np.isin(part.column(0).to_numpy(), trained)))
+                if not part.num_rows:
+                    continue
+                hashed, first = tokens(*raw(part.column(2)))
+                # one by one, so that a score doesn't hang on its neighbours
+                scores = np.array([model.scores(hashed[a:b], np.array([0, b - a]))[0] for a, b in zip(first[:-1], first[1:])], dtype=np.float64)
+                odds = np.log(np.clip(scores, 1e-12, 1 - 1e-12)) - np.log1p(-np.clip(scores, 1e-12, 1 - 1e-12))
+                bins = np.floor(np.clip(odds, -FAR, FAR) * BINS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bins)], names=["doc_id", "lang", "bin"])
+
+    scored = docs.filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, lang string, bin int")
+    one = scored.join(labelled(labels, label), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "bin")).alias("x"), F.min("label").alias("label"))
+    rows = cut(one.groupBy("x.lang", "x.bin", "label").count())
+    often = [r.lang for r in rows.filter("lang IS NOT NULL").groupBy("lang").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
+    found = rows.groupBy(F.when(F.col("lang").isin(often), F.col("lang")).alias("lang"), "bin", "label").agg(F.sum("count").alias("n")).orderBy("lang", "bin", "label").toArrow()
+    scores = 1 / (1 + np.exp(-(found.column("bin").to_numpy() + 0.5) / BINS))
+    return scores, found.column("label").to_numpy(), found.column("lang").to_pylist(), found.column("n").to_numpy()
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = "lang") -> tuple[Model, dict]:
-    """Train on a bounded sample of labelled rows, and calibrate thresholds by language on a fifth of it set apart."""
+    """Train on four fifths of a bounded sample of labelled rows, and calibrate thresholds by language on all the others.
+
+    The sample takes another share of each class than the table has. What is left of a class therefore stands for all of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashed, first = tokens(*raw(part.column(part.schema.get_field_index("text"))))
                 words = [hashed[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(words, pa.binary())], names=["doc_id", "label", "lang", "words"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.binary())], names=["doc_id", "label", "words"])
 
     lang = F.col(lang_column) if lang_column else F.lit(None)
-    rows = docs.select(F.col(id_column).alias("doc_id"), lang.cast("string").alias("lang"), F.col(text_column).alias("text"))
-    chosen = rows.join(F.broadcast(sample(labels, label, most)), "doc_id").select("doc_id", "label", "lang", "text")
-    found = chosen.mapInArrow(run, "doc_id long, label int, lang string, words binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), lang.cast("string").alias("lang"), F.col(text_column).alias("text"))
+    labels = labels.withColumn("doc_id", F.col("doc_id").cast("long"))
+    chosen = rows.join(F.broadcast(sample(labels, label, most)), "doc_id").select("doc_id", "label", "text")
+    found = chosen.mapInArrow(run, "doc_id long, label int, words binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     texts = [np.frombuffer(x, dtype=np.uint16).reshape(-1, TABLES) for x in found.column("words").to_pylist()]
     y = found.column("label").to_numpy()
     if not 0 < y.sum() < len(y):
@@ -218,16 +255,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
         m.out[:] = 0
         m.out_bias = 6.0 if len(y) and y.all() else -6.0
         return m, {}
-    apart = np.arange(len(y)) % 5 == 4
-    model = train([t for t, a in zip(texts, apart) if not a], y[~apart])
-    scores = np.array([model.scores(t, np.array([0, len(t)]))[0] for t, a in zip(texts, apart) if a])
-    langs = [x for x, a in zip(found.column("lang").to_pylist(), apart) if a]
-    level = calibrate(scores, y[apart], langs).get("", THRESHOLD)
+    seen = np.arange(len(y)) % 5 != 4
+    model = train([t for t, a in zip(texts, seen) if a], y[seen])
+    scores, classes, langs, n = unseen(rows, labels, label, model, found.column("doc_id").to_numpy()[seen])
+    left = np.bincount(classes, n, 2)
+    count = np.stack([n, n * ((left + np.bincount(y[seen], minlength=2)) / np.maximum(left, 1))[classes]], axis=1)
+    level = calibrate(scores, classes, langs, count).get("", THRESHOLD)
     # the best threshold over all languages becomes THRESHOLD
     shift = np.log(level / (1 - level)) if 0 < level < 1 else 0.0
     model.out_bias -= shift
-    moved = 1 / (1 + (1 / np.clip(scores, 1e-12, 1 - 1e-12) - 1) * np.exp(shift))
-    return model, {k: float(np.clip(v, *BOUNDS)) for k, v in calibrate(moved, y[apart], langs).items()}
+    moved = 1 / (1 + (1 / scores - 1) * np.exp(shift))
+    return model, {k: float(np.clip(v, *BOUNDS)) for k, v in calibrate(moved, classes, langs, count).items()}
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", score_column: str = "score") -> DataFrame:
