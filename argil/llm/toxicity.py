@@ -22,7 +22,7 @@ from argil.llm._labels import held_out, labelled, sample
 from argil.llm._text import cut, hash_spans, raw, read, slices
 
 #: Most training rows of each class, a proven bound of what reaches the driver; whole texts are read all the same.
-SAMPLE = 2000
+SAMPLE = 4000
 BUCKETS, TABLES, DIM, WIDTHS, FILTERS = 1 << 16, 5, 4, (1, 2, 3), 8
 STEMS = (4, 6, 8)
 EPOCHS, BATCH, RATE, DECAY, SEED = 6, 64, 0.01, 1e-4, 7

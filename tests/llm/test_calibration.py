@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from argil.llm import toxicity
 from argil.llm._labels import labelled
@@ -53,3 +54,11 @@ def test_shares_count():
     scores, y = np.array([0.9, 0.6, 0.6, 0.2]), np.array([1, 1, 0, 0])
     at = lambda clean: toxicity.calibrate(scores, y, [None] * 4, np.array([[50, 50], [50, 50], [20, clean], [80, 80]], dtype=float))[""]
     assert at(20) == pytest.approx(0.4) and at(400) == pytest.approx(0.75)
+
+
+def test_four_thousand_rows_a_class_are_learnt_from(spark, monkeypatch):
+    docs = spark.range(11000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("en").alias("lang"))
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append(np.bincount(y)) or toxicity._initial(texts, y, np.random.default_rng(0)))
+    toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    assert seen[0].sum() == 6400
