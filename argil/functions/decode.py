@@ -128,7 +128,7 @@ def read_safetensors(data: Any) -> Artifact:
 
 def read_zip(data: Any) -> Artifact:
     """Pickle streams of a ZIP: stored or deflated members that end in ``.pkl`` or begin with a protocol mark. A member that can't
-    be read, or inflates beyond ``MAX_MEMBER``, is passed over."""
+    be read is passed over; of one that inflates beyond ``MAX_MEMBER`` that much is given, as a stream that breaks off."""
     out = Artifact("pytorch-zip")
     try:
         archive = zipfile.ZipFile(_View(data))
@@ -143,12 +143,14 @@ def read_zip(data: Any) -> Artifact:
                 head = f.read(1)
                 if not member.filename.endswith(".pkl") and head != b"\x80":
                     continue
-                body = head + f.read(MAX_MEMBER)
+                body, part = head + f.read(MAX_MEMBER), ""
                 if len(body) > MAX_MEMBER:
-                    continue
+                    body, part = body[:MAX_MEMBER], f" (first {MAX_MEMBER} bytes)"
+                    # at the end of an opcode, another one without its operand shows the cut
+                    body += b"" if disassemble(body).truncated else b"\x8d"
         except Exception:  # noqa: BLE001 - whatever a hostile member makes the reader raise, the others are still read
             continue
-        out.pickles.append((f"archive:{member.filename}", body))
+        out.pickles.append((f"archive:{member.filename}{part}", body))
     return out
 
 

@@ -1,0 +1,21 @@
+"""A ZIP member beyond the limit is scanned up to it, and shows as broken off."""
+
+import io
+import zipfile
+
+import pytest
+
+from argil.functions import decode
+
+
+@pytest.mark.parametrize("pad", [b"N" * 500, b"X\x64\x00\x00\x00" + b"a" * 500, b"X\x41\x00\x00\x00" + b"a" * 500])
+def test_large_member_is_not_dropped(monkeypatch, pad):
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w", zipfile.ZIP_DEFLATED) as f:
+        f.writestr("a.pkl", b"cos\nsystem\n(S'id'\ntR." + pad)
+        f.writestr("b.pkl", b"N.")
+    monkeypatch.setattr(decode, "MAX_MEMBER", 100)
+    (name, body), other = decode.read_zip(z.getvalue()).pickles
+    found = decode.disassemble(body)
+    assert name == "archive:a.pkl (first 100 bytes)" and len(body) <= 101 and other == ("archive:b.pkl", b"N.")
+    assert found.imports == [("os", "system", 0)] and found.has_reduce and found.truncated
