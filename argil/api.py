@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 from argil.operators import entropy, metadata, pickles, pii, report, secrets
 from argil.operators.findings import gate, union
 from argil.sources import files
+from argil.sources.shared import cut
 
 
 @dataclass(frozen=True)
 class Frames:
-    """The tables that scanners read. All are lazy."""
+    """The tables that scanners read. The first four come from one pass over the files, made when the scan began; ``chunks`` (raw bytes)
+    and ``pieces`` (bytes of pickle streams) are lazy and read the files again, for scanners that want bytes."""
 
     artifacts: DataFrame
     metadata_kv: DataFrame
     pickle_streams: DataFrame
+    raw_hits: DataFrame
     chunks: DataFrame
+    pieces: DataFrame
 
 
 Scanner = Callable[[Frames], DataFrame]
@@ -28,7 +32,7 @@ Scanner = Callable[[Frames], DataFrame]
 #: By name, in the order in which findings are emitted. A scanner of your own takes ``Frames`` and returns findings.
 SCANNERS: dict[str, Scanner] = {
     "pickle": lambda f: pickles.scan(f.pickle_streams),
-    "secrets": lambda f: secrets.scan(f.chunks),
+    "secrets": lambda f: secrets.scan(f.raw_hits),
     "pii": lambda f: pii.scan(f.metadata_kv),
     "metadata": lambda f: metadata.scan(f.artifacts, f.metadata_kv),
     "entropy": lambda f: entropy.scan(f.pickle_streams),
@@ -37,7 +41,7 @@ SCANNERS: dict[str, Scanner] = {
 
 @dataclass(frozen=True)
 class Scan:
-    """Outcome of a scan; its tables are lazy."""
+    """Outcome of a scan; its tables are lazy, but none of them reads a file again."""
 
     artifacts: DataFrame
     findings: DataFrame
@@ -52,24 +56,24 @@ class Scan:
         return gate(at_least(self.findings, min_severity), fail_on)
 
 
-def frames(decoded: DataFrame, chunks: DataFrame) -> Frames:
-    return Frames(files.artifacts(decoded), files.metadata_kv(decoded), files.pickle_streams(decoded), chunks)
-
-
-def _run(decoded: DataFrame, chunks: DataFrame, scanners: Mapping[str, Scanner] | None) -> Scan:
-    own = frames(decoded, chunks)
+def _run(decoded: DataFrame, chunks: DataFrame, pieces: DataFrame, scanners: Mapping[str, Scanner] | None) -> Scan:
+    once = cut(decoded)
+    own = Frames(files.artifacts(once), files.metadata_kv(once), files.pickle_streams(once), files.raw_hits(once), chunks, pieces)
     chosen = SCANNERS if scanners is None else scanners
-    return Scan(own.artifacts, union([s(own) for s in chosen.values()]), files.errors(decoded))
+    return Scan(own.artifacts, union([s(own) for s in chosen.values()]), files.errors(once))
 
 
 def scan(spark: SparkSession, path: str, recursive: bool = False, scanners: Mapping[str, Scanner] | None = None) -> Scan:
-    """Scan a file or the model files of a folder that all executors can open."""
-    return _run(files.decoded(spark, path, recursive), files.chunks(spark, path, recursive), scanners)
+    """Scan a file or the model files of a folder that all executors can open. Each file is decoded once, whatever the scanners, and
+    what was found is checkpointed; the scanners themselves are lazy."""
+    raw = scanners is None or "secrets" in scanners
+    return _run(files.decoded(spark, path, recursive, raw), files.chunks(spark, path, recursive), files.stream_pieces(spark, path, recursive), scanners)
 
 
 def scan_binary(contents: DataFrame, scanners: Mapping[str, Scanner] | None = None) -> Scan:
     """Scan a table with ``path`` and ``content``, as the binary source reads it from any file system."""
-    return _run(files.from_binary(contents), files.chunks_of(contents), scanners)
+    raw = scanners is None or "secrets" in scanners
+    return _run(files.from_binary(contents, raw), files.chunks_of(contents), files.pieces_of(contents), scanners)
 
 
 def text_as_metadata(table: DataFrame, id_column: str, text_column: str) -> DataFrame:

@@ -52,13 +52,19 @@ def luhn_ok(value: Column) -> Column:
     return F.when(n < 13, F.lit(False)).otherwise(total % 10 == 0)
 
 
-def matches(value: Column, pattern: str, most: int | None = None, needs: Sequence[str] = ()) -> Column:
-    """All matches, or the first ``most``. The pattern is a literal, so that it is compiled once; digits, spaces and word borders are
-    those of Unicode. A value that holds none of ``needs`` is not searched."""
-    found = F.regexp_extract_all(value, F.lit("(?U)" + pattern), F.lit(0))
-    if needs:
-        found = F.when(reduce(Column.__or__, (F.contains(value, F.lit(n)) for n in needs)), found).otherwise(F.array().cast("array<string>"))
-    return found if most is None else F.slice(found, 1, most)
+def matches(value: Column, pattern: str) -> Column:
+    """All matches. The pattern is a literal, so that it is compiled once; digits, spaces and word borders are those of Unicode."""
+    return F.regexp_extract_all(value, F.lit("(?U)" + pattern), F.lit(0))
+
+
+def found(value: Column, rule: dims.Rule) -> Column:
+    """The first ``rule.most`` matches of a rule, in linear time where it has a form for that. A value that holds none of what a match
+    needs is not searched."""
+    pattern, group = (rule.linear, 1) if rule.linear else (rule.pattern, 0)
+    out = F.regexp_extract_all(value, F.lit("(?U)" + pattern), F.lit(group))
+    if rule.needs:
+        out = F.when(reduce(Column.__or__, (F.contains(value, F.lit(n)) for n in rule.needs)), out).otherwise(F.array().cast("array<string>"))
+    return F.slice(out, 1, rule.most)
 
 
 def first_match(value: Column, pattern: str) -> Column:

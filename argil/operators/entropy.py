@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argil.functions import dims
+from argil.functions.decode import entropies
 from argil.operators.findings import constants, finding, seq
 
 _BATCH = 256
@@ -31,18 +32,6 @@ def windows_native(blobs: DataFrame, keys: list[str], window: int = dims.ENTROPY
     return counts.groupBy(*keys, "off").agg((-F.sum(p * F.log2(p))).alias("entropy"))
 
 
-def entropies(data: np.ndarray, window: int) -> np.ndarray:
-    """Entropy of each row of a byte matrix."""
-    out = []
-    for at in range(0, len(data), _BATCH):
-        part = data[at : at + _BATCH]
-        slot = part.astype(np.int64) + 256 * np.arange(len(part))[:, None]
-        p = np.bincount(slot.ravel(), minlength=256 * len(part)).reshape(len(part), 256) / window
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out.append(-np.where(p > 0, p * np.log2(p), 0).sum(axis=1))
-    return np.concatenate(out) if out else np.zeros(0)
-
-
 def windows(blobs: DataFrame, keys: list[str], window: int = dims.ENTROPY_WINDOW, threshold: float | None = None) -> DataFrame:
     """The same by an Arrow kernel, without a shuffle. With a threshold only the first window of each row that reaches it."""
     schema = blobs.select(*keys).schema.add("off", "integer").add("entropy", "double")
@@ -68,10 +57,11 @@ def windows(blobs: DataFrame, keys: list[str], window: int = dims.ENTROPY_WINDOW
     return blobs.select(*keys, "bytes").mapInArrow(run, schema)
 
 
-def scan(streams: DataFrame, window: int = dims.ENTROPY_WINDOW, threshold: float = dims.ENTROPY_THRESHOLD) -> DataFrame:
-    """One finding per pickle stream of which a full window reaches the threshold: the first such window."""
-    found = windows(streams, ["path", "ord", "name"], window, threshold)
-    detail = F.concat(F.lit(f"{window} bytes at offset "), F.col("off").cast("string"), F.lit(" have "), F.format_string("%.2f", F.col("entropy")), F.lit(" bits of entropy a byte, as compressed or encrypted data has."))
+def scan(examined: DataFrame, window: int = dims.ENTROPY_WINDOW) -> DataFrame:
+    """One finding per examined pickle stream of which a full window reaches the threshold: the first such window."""
+    found = examined.filter("last AND entropy IS NOT NULL")
+    off = F.col("entropy_offset")
+    detail = F.concat(F.lit(f"{window} bytes at offset "), off.cast("string"), F.lit(" have "), F.format_string("%.2f", F.col("entropy")), F.lit(" bits of entropy a byte, as compressed or encrypted data has."))
     return found.select(
-        *finding("entropy", F.col("path"), seq("entropy", F.col("ord"), F.lit(0)), F.lit("THK-ENT-001"), F.lit("medium"), F.lit(0.5), F.lit("High-entropy region inside pickle stream"), detail, F.col("name"), F.col("off"), constants((dims.SUPPLY_CHAIN,)))
+        *finding("entropy", F.col("path"), seq("entropy", F.col("ord"), F.lit(0)), F.lit("THK-ENT-001"), F.lit("medium"), F.lit(0.5), F.lit("High-entropy region inside pickle stream"), detail, F.col("name"), off, constants((dims.SUPPLY_CHAIN,)))
     )

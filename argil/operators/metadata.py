@@ -24,7 +24,7 @@ def hits(value: Column) -> Column:
     def one(i: int, hit: Column) -> Column:
         return F.when(hit.isNotNull(), F.array(F.struct(F.lit(i).alias("rule"), F.lit(0).alias("n"), hit.alias("hit"))))
 
-    links = F.transform(X.matches(value, LINKS.pattern, LINKS.most, LINKS.needs), numbered(2))
+    links = F.transform(X.found(value, LINKS), numbered(2))
     parts = (one(0, build_path(value)), one(1, X.first_match(value, CLOUD.pattern)), links)
     return F.flatten(F.array_compact(F.array(*parts)))
 
@@ -61,20 +61,24 @@ def scan_values(kv: DataFrame) -> DataFrame:
     )
 
 
-def inventory(artifacts: DataFrame, kv: DataFrame) -> DataFrame:
-    """``(path, n_kv, tensor_count)`` of the artifacts that have metadata or declare a number of tensors."""
+def counted(artifacts: DataFrame, kv: DataFrame) -> DataFrame:
+    """Add ``n_kv``, where a decoder didn't count: one equi-join."""
     counts = kv.groupBy("path").agg(F.count("*").alias("n_kv"))
-    joined = artifacts.select("path", "tensor_count").join(counts, "path", "left").withColumn("n_kv", F.coalesce("n_kv", F.lit(0)))
-    return joined.filter("n_kv > 0 OR tensor_count IS NOT NULL")
+    return artifacts.select("path", "tensor_count").join(counts, "path", "left").withColumn("n_kv", F.coalesce("n_kv", F.lit(0)))
+
+
+def inventory(artifacts: DataFrame) -> DataFrame:
+    """``(path, n_kv, tensor_count)`` of the artifacts that have metadata or declare a number of tensors."""
+    return artifacts.filter("n_kv > 0 OR tensor_count IS NOT NULL").select("path", "n_kv", "tensor_count")
 
 
-def scan_inventory(artifacts: DataFrame, kv: DataFrame) -> DataFrame:
+def scan_inventory(artifacts: DataFrame) -> DataFrame:
     rule = dims.INVENTORY_RULE
     tensors = F.coalesce(F.col("tensor_count").cast("string"), F.lit("?"))
     detail = F.concat(F.lit("Parsed "), F.col("n_kv").cast("string"), F.lit(" metadata key(s); container declares "), tensors, F.lit(" tensor(s)."))
     place = seq("metadata", F.lit((1 << 26) - 1), F.lit(0))
-    return inventory(artifacts, kv).select(*finding("metadata", F.col("path"), place, F.lit(rule.rule_id), F.lit(rule.severity), F.lit(rule.confidence), F.lit(rule.name), detail, F.lit("header")))
+    return inventory(artifacts).select(*finding("metadata", F.col("path"), place, F.lit(rule.rule_id), F.lit(rule.severity), F.lit(rule.confidence), F.lit(rule.name), detail, F.lit("header")))
 
 
 def scan(artifacts: DataFrame, kv: DataFrame) -> DataFrame:
-    return scan_values(kv).unionByName(scan_inventory(artifacts, kv))
+    return scan_values(kv).unionByName(scan_inventory(artifacts))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import pickletools
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argil.api import Frames
-from argil.functions import decode, dims
+from argil.functions import dims
 from argil.functions import expressions as X
 from argil.functions.rules import PackRule, imports_of, opcodes_of
 from argil.operators import pickles, secrets
@@ -19,15 +18,10 @@ from argil.operators.findings import constants, finding, union
 _NAMES = {ord(op.code): op.name for op in pickletools.opcodes}
 
 
-def opcodes(streams: DataFrame) -> DataFrame:
+def opcodes(examined: DataFrame) -> DataFrame:
     """``(path, opcode)``: names of the opcodes that a stream has before it breaks off, each once per stream."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(p, _NAMES[op]) for p, data in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes"))) for op in sorted(decode.opcodes(data or b""))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["path", "opcode"])
-
-    return streams.select("path", "bytes").mapInArrow(run, "path string, opcode string")
+    names = F.create_map(*(x for k, v in _NAMES.items() for x in (F.lit(k), F.lit(v))))
+    return examined.filter("last").select("path", F.explode("opcodes").alias("code")).select("path", names[F.col("code")].alias("opcode"))
 
 
 def _import_matches(pattern: str) -> Column:
@@ -45,7 +39,7 @@ def facts(frames: Frames, rules: Sequence[PackRule]) -> DataFrame:
         return F.element_at(F.array(*map(F.lit, labels)), F.col("rule") + 1)
 
     for target in ("metadata", "raw"):
-        chosen = [(f"string:{i}:{v}", dims.Rule(r.rule_id, v, r.severity, r.confidence, p)) for i, r in enumerate(rules) if target in r.targets for v, p in r.strings.items()]
+        chosen = [(f"string:{i}:{v}", dims.Rule(r.rule_id, v, r.severity, r.confidence, p, 1)) for i, r in enumerate(rules) if target in r.targets for v, p in r.strings.items()]
         if chosen:
             hits = secrets.text_hits(frames.metadata_kv, [r for _, r in chosen]) if target == "metadata" else secrets.raw_hits(frames.chunks, [r for _, r in chosen])
             parts.append(hits.select("path", named([f for f, _ in chosen]).alias("fact")))

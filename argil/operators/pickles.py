@@ -2,49 +2,42 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from argil.functions import decode, dims
 from argil.functions import expressions as X
+from argil.functions.schema import STREAMS
 from argil.operators.findings import constants, finding, seq
 
-_DISASSEMBLY = "path string, ord int, name string, has_reduce boolean, truncated boolean, stop_offset long, imports array<struct<module:string,name:string,offset:long>>"
-_ARROW = pa.schema(
-    [
-        ("path", pa.string()),
-        ("ord", pa.int32()),
-        ("name", pa.string()),
-        ("has_reduce", pa.bool_()),
-        ("truncated", pa.bool_()),
-        ("stop_offset", pa.int64()),
-        ("imports", pa.list_(pa.struct([("module", pa.string()), ("name", pa.string()), ("offset", pa.int64())]))),
-    ]
-)
 _REMEDIATION = "Don't load this file with pickle. Convert it to safetensors in isolation, or load it with weights_only=True."
 
 
 def disassembled(streams: DataFrame) -> DataFrame:
-    """One row per stream of ``streams(path, ord, name, bytes)``; sequential by nature, so one Arrow pass, no shuffle."""
+    """What each stream of ``streams(path, ord, name, bytes)`` holds, see ``schema.STREAM``: a row, or several of one with very many
+    imports. Sequential by nature, so one Arrow pass, no shuffle. A null is a stream without a byte."""
+    arrow = to_arrow_schema(STREAMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, at, name, data in zip(*(batch.column(c).to_pylist() for c in ("path", "ord", "name", "bytes"))):
-                d = decode.disassemble(data or b"")
-                rows.append(dict(zip(_ARROW.names, (path, at, name, d.has_reduce, d.truncated, d.stop_offset, [{"module": m, "name": n, "offset": o} for m, n, o in d.imports]))))
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            for path, at, name, data in zip(*(batch.column(c) for c in ("path", "ord", "name", "bytes"))):
+                body = data.as_py() or b""
+                for row in decode.examine(at.as_py(), name.as_py(), lambda body=body: io.BytesIO(body)):
+                    row["imports"] = [{"module": m, "name": n, "offset": o} for m, n, o in row["imports"]]
+                    yield pa.RecordBatch.from_pylist([{"path": path.as_py()} | row], schema=arrow)
 
-    return streams.select("path", F.col("ord").cast("int").alias("ord"), "name", "bytes").mapInArrow(run, _DISASSEMBLY)
+    return streams.select("path", F.col("ord").cast("int").alias("ord"), "name", "bytes").mapInArrow(run, STREAMS)
 
 
-def imports(streams: DataFrame) -> DataFrame:
-    """One row per import: ``path, ord, component, n, module, name, offset, has_reduce``."""
-    found = disassembled(streams).select("path", "ord", F.col("name").alias("component"), "has_reduce", F.posexplode("imports").alias("n", "i"))
-    return found.select("path", "ord", "component", "n", "i.module", "i.name", "i.offset", "has_reduce")
+def imports(examined: DataFrame) -> DataFrame:
+    """One row per import of examined streams: ``path, ord, component, n, module, name, offset, has_reduce``."""
+    found = examined.select("path", "ord", F.col("name").alias("component"), "has_reduce", "first", F.posexplode("imports").alias("n", "i"))
+    return found.select("path", "ord", "component", (F.col("first") + F.col("n")).alias("n"), "i.module", "i.name", "i.offset", "has_reduce")
 
 
 def classified(found: DataFrame, rules: Sequence[tuple[str, str, str]] = dims.IMPORT_RULES) -> DataFrame:
@@ -58,17 +51,15 @@ def unexpected(found: DataFrame) -> DataFrame:
     return classified(found).filter("severity IS NULL AND NOT benign").select(*found.columns)
 
 
-def scan(streams: DataFrame, rules: Sequence[tuple[str, str, str]] = dims.IMPORT_RULES) -> DataFrame:
-    """A finding for each stream that breaks off, each dangerous import and each unexpected one, occurrence by occurrence."""
-    d = disassembled(streams)
+def scan(examined: DataFrame, rules: Sequence[tuple[str, str, str]] = dims.IMPORT_RULES) -> DataFrame:
+    """A finding for each examined stream that breaks off, each dangerous import and each unexpected one, occurrence by occurrence."""
     path, place = F.col("path"), F.col("ord")
-    broken = d.filter("truncated").select(
+    broken = examined.filter("truncated AND last").select(
         *finding("pickle", path, seq("pickle", place, F.lit(0)), F.lit("THK-PKL-090"), F.lit("medium"), F.lit(0.5), F.lit("Unparseable / truncated pickle stream"), F.concat(F.lit("Decoding broke off at byte "), F.col("stop_offset").cast("string"), F.lit("; what follows was not examined.")), F.col("name"), F.col("stop_offset"), constants((dims.LLM_OUTPUT,)))
     )
-    each = d.select("path", "ord", F.col("name").alias("component"), "has_reduce", F.posexplode("imports").alias("n", "i")).select("path", "ord", "component", "has_reduce", "n", "i.module", "i.name", "i.offset")
     full = F.concat_ws(".", "module", "name")
     dangerous = F.col("severity").isNotNull()
-    judged = classified(each, rules).filter(dangerous | ~F.col("benign"))
+    judged = classified(imports(examined), rules).filter(dangerous | ~F.col("benign"))
     rows = judged.select(
         *finding(
             "pickle",

@@ -22,7 +22,7 @@ def hits(value: Column, rules: Sequence[dims.Rule] = dims.PII_RULES) -> Column:
     satisfy Luhn among the first matches."""
     parts = []
     for i, rule in enumerate(rules):
-        found = F.transform(X.matches(value, rule.pattern, rule.most, rule.needs), numbered(i))
+        found = F.transform(X.found(value, rule), numbered(i))
         parts.append(F.filter(found, lambda s: X.luhn_ok(s.hit)) if rule.rule_id == dims.LUHN_RULE else found)
     return F.concat(*parts)
 

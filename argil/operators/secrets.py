@@ -18,7 +18,8 @@ _HITS = "path string, rule int, offset long, hit string"
 
 
 def raw_hits(chunks: DataFrame, rules: Sequence[dims.Rule] = dims.SECRET_RULES) -> DataFrame:
-    """All matches in raw bytes, each once: ``path, rule, offset, hit``. A chunk reports the matches that begin in its own span."""
+    """All matches in chunks of raw bytes, each once: ``path, rule, offset, hit``. A chunk reports the matches that begin in its own
+    span; one longer than the chunks' overlap may be cut short. For rule packs; the scanner's hits come with decoding."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = [re.compile(r.pattern.encode()) for r in rules]
@@ -37,7 +38,7 @@ def raw_hits(chunks: DataFrame, rules: Sequence[dims.Rule] = dims.SECRET_RULES)
 
 def text_hits(kv: DataFrame, rules: Sequence[dims.Rule] = dims.SECRET_RULES) -> DataFrame:
     """All matches in metadata values: ``path, ord, key, rule, n, hit``. Built-in functions only."""
-    parts = [F.transform(X.matches(F.col("value"), r.pattern, needs=r.needs), numbered(i)) for i, r in enumerate(rules)]
+    parts = [F.transform(X.found(F.col("value"), r), numbered(i)) for i, r in enumerate(rules)]
     return kv.select("path", "ord", "key", F.explode(F.concat(*parts)).alias("h")).select("path", "ord", "key", "h.*")
 
 
@@ -53,9 +54,8 @@ def _findings(hits: DataFrame, rules: Sequence[dims.Rule], place: Column, compon
     )
 
 
-def scan(chunks: DataFrame, rules: Sequence[dims.Rule] = dims.SECRET_RULES) -> DataFrame:
-    """Findings in raw bytes, one for each rule and place, in the order of places."""
-    hits = raw_hits(chunks, rules)
+def scan(hits: DataFrame, rules: Sequence[dims.Rule] = dims.SECRET_RULES) -> DataFrame:
+    """Findings of ``hits(path, rule, offset, hit)`` in raw bytes, one for each rule and place, in the order of places."""
     place = F.lit(dims.SCANNERS.index("secrets") << 58) + F.least(F.col("offset"), F.lit((1 << 53) - 1)) * 32 + F.col("rule")
     return _findings(hits, rules, place, F.lit("raw"), F.col("offset"))
 

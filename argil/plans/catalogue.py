@@ -99,7 +99,7 @@ def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 100).alias("tensor_count")
     own = customers.select(F.col("c_custkey").cast("string").alias("path"), count)
     kv = orders.select(F.col("o_custkey").cast("string").alias("path"))
-    return metadata.scan_inventory(own, kv).select("path", "rule_id", "severity", "confidence", "detail")
+    return metadata.scan_inventory(metadata.counted(own, kv)).select("path", "rule_id", "severity", "confidence", "detail")
 
 
 _add(

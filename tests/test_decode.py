@@ -28,6 +28,15 @@ def gguf(*pairs, version=3, tensors=0, count=None):
     return b"GGUF" + struct.pack(kind, version, tensors, len(pairs) if count is None else count) + b"".join(string(k) + v for k, v in pairs)
 
 
+def read(path, data):
+    """The rows of an artifact, put together."""
+    rows = list(decode.read_artifact(path, data))
+    assert [r.get("head", False) for r in rows] == [False] * (len(rows) - 1) + [True]
+    pairs = [p for r in rows for p in r.get("metadata", ())]
+    assert len(pairs) == rows[-1]["n_kv"]
+    return rows[-1] | {"metadata": pairs, "streams": [s for r in rows for s in r.get("streams", ())]}
+
+
 def text(v):
     return struct.pack("<I", 8) + string(v)
 
@@ -104,7 +113,7 @@ def test_agrees_with_pickletools(value, protocol, data):
 def test_any_bytes(data):
     disassemble(data)
     for head in (b"", b"GGUF\x03\0\0\0", b"PK\x03\x04", struct.pack("<Q", 20) + b"{"):
-        decode.read_artifact("x", head + data)
+        read("x", head + data)
 
 
 def test_every_prefix_of_containers():
@@ -113,13 +122,13 @@ def test_every_prefix_of_containers():
         f.writestr("data.pkl", CALL * 20)
     for data in (gguf(("a", text("b")), ("c", array(8, 2, string("d") + string("e")))), safetensors({"__metadata__": {"a": "b"}, "w": {}}), z.getvalue(), CALL):
         for n in range(len(data) + 1):
-            decode.read_artifact("x", data[:n])
+            read("x", data[:n])
 
 
 def test_gguf():
-    a = decode.read_artifact("m.gguf", gguf(("k", text("v")), ("k", text("again")), ("n", struct.pack("<II", 4, 7)), ("l", array(8, 2, string("x") + string(b"\xff"))), ("f", array(6, 3, bytes(12))), ("e", text("")), tensors=2**63))
-    assert a.format == "gguf" and a.tensor_count == 2**63
-    assert a.metadata == [("k", "v"), ("k", "again"), ("l", "x \ufffd")]
+    a = read("m.gguf", gguf(("k", text("v")), ("k", text("again")), ("n", struct.pack("<II", 4, 7)), ("l", array(8, 2, string("x") + string(b"\xff"))), ("f", array(6, 3, bytes(12))), ("e", text("")), tensors=2**63))
+    assert a["format"] == "gguf" and a["tensor_count"] == 2**63
+    assert a["metadata"] == [("k", "v"), ("k", "again"), ("l", "x \ufffd")]
     assert decode.read_gguf(gguf(("a", text("b")), version=1, tensors=4)).metadata == [("a", "b")]
     for bad in (array(9, 1, bytes(20)), array(8, 2_000_000, b""), struct.pack("<I", 99), struct.pack("<I", 8) + string("x", 1 << 40)):
         assert decode.read_gguf(gguf(("a", text("b")), ("bad", bad), ("c", text("d")), count=50)).metadata == [("a", "b")]
@@ -127,8 +136,8 @@ def test_gguf():
 
 
 def test_safetensors():
-    a = decode.read_artifact("m", safetensors({"__metadata__": {"z": "1", "a": "2", "n": 3, "l": ["x"]}, "w": {}, "v": {}}))
-    assert (a.format, a.tensor_count, a.metadata) == ("safetensors", 2, [("a", "2"), ("z", "1")])
+    a = read("m", safetensors({"__metadata__": {"z": "1", "a": "2", "n": 3, "l": ["x"]}, "w": {}, "v": {}}))
+    assert (a["format"], a["tensor_count"], a["metadata"]) == ("safetensors", 2, [("a", "2"), ("z", "1")])
     assert decode.read_safetensors(safetensors(b'{"__metadata__":{"a":"1","a":"2"}}')).metadata == [("a", "2")]
     for bad in (b"{", b"[1]", b'{"a":NaN}', b"\xff\xfe{}", b'"x"', b"{" * 100000):
         assert decode.read_safetensors(safetensors(bad)).tensor_count is None
@@ -136,7 +145,30 @@ def test_safetensors():
     assert decode.read_safetensors(b"{}").tensor_count is None
 
 
-def test_zip(monkeypatch):
+def test_long_artifacts_take_several_rows(monkeypatch):
+    data = gguf(*((f"k{i}", text("v" * 30)) for i in range(20)))
+    whole = read("m.gguf", data)["metadata"]
+    monkeypatch.setattr(decode, "BYTES_A_ROW", 100)
+    assert read("m.gguf", data)["metadata"] == whole
+    rows = list(decode.read_artifact("m.gguf", data))
+    assert len(rows) > 4 and all(whole[r["first"] : r["first"] + len(r["metadata"])] == r["metadata"] for r in rows)
+    monkeypatch.setattr(decode, "IMPORTS_A_ROW", 10)
+    stream = b"".join(b"cos\nf%d\n" % i for i in range(35)) + b"R."
+    for data in (stream, zipped({"a.pkl": stream})):
+        parts = read("m.pt", data)["streams"]
+        assert [len(p["imports"]) for p in parts] == [10, 10, 10, 5] and [p["last"] for p in parts] == [False] * 3 + [True]
+        assert [n for p in parts for _, n, _ in p["imports"]] == [f"f{i}" for i in range(35)] and all(p["has_reduce"] for p in parts)
+
+
+def zipped(members, kind=zipfile.ZIP_DEFLATED):
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w", kind) as f:
+        for name, data in members.items():
+            f.writestr(name, data)
+    return z.getvalue()
+
+
+def test_zip():
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
         f.writestr("a/data.pkl", b"N.")
@@ -146,15 +178,31 @@ def test_zip(monkeypatch):
         f.writestr("packed.pkl", b"N." * 500, zipfile.ZIP_BZIP2)
         f.writestr("empty.pkl", b"")
     data = z.getvalue()
-    a = decode.read_artifact("m.pt", data)
-    assert a.format == "pytorch-zip" and a.tensor_count is None
-    assert [n for n, _ in a.pickles] == ["archive:a/data.pkl", "archive:marked", "archive:deflated.pkl", "archive:empty.pkl"]
-    monkeypatch.setattr(decode, "MAX_MEMBER", 100)
-    assert "archive:deflated.pkl" not in [n for n, _ in decode.read_zip(data).pickles]
-    assert decode.read_artifact("x", b"PK\x03\x04junk").pickles == []
+    a = read("m.pt", data)
+    assert a["format"] == "pytorch-zip" and a["tensor_count"] is None
+    assert [(s["ord"], s["name"], s["size"]) for s in a["streams"]] == [(0, "archive:a/data.pkl", 2), (1, "archive:marked", 4), (2, "archive:deflated.pkl", 1000), (3, "archive:empty.pkl", 0)]
+    assert read("x", b"PK\x03\x04junk")["streams"] == []
     at = data.index(b"N.")
     spoiled = data[:at] + b"M." + data[at + 2 :]
-    assert "archive:a/data.pkl" not in [n for n, _ in decode.read_zip(spoiled).pickles]
+    assert "archive:a/data.pkl" not in [s["name"] for s in read("x", spoiled)["streams"]]
+
+
+def test_long_names_and_lines():
+    for pad in (b"X\x40\x42\x0f\x00" + b"a" * 1_000_000, b"S" + b"a" * 3_000_000 + b"\n", b"T\x05\x00\x00\x00abcde" * 300_000):
+        d = disassemble(pad + b"0cos\nsystem\n\x8c\x03nt\x8c\x8c\x01x\x93.")
+        assert d.imports[0] == ("os", "system", len(pad) + 1)
+    d = disassemble(b"c" + b"o" * 9000 + b"\nx\n.")
+    assert d.imports == [("o" * decode.NAME + "…", "x", 0)]
+
+
+def test_entropy_of_a_stream(monkeypatch):
+    noise = random.Random(3).randbytes(4096)
+    for piece in (100, 5000, 1 << 20):
+        monkeypatch.setattr(decode, "PIECE", piece)
+        for data, at in ((noise, 0), (bytes(4096) + noise * 2, 4096), (noise[:-1], None), (bytes(4000) + noise, None), (b"\xff" + bytes(8191) + noise, 8192)):
+            (row,) = decode.examine(0, "s", lambda data=data: io.BytesIO(data))
+            assert row["entropy_offset"] == at and row["size"] == len(data)
+            assert at is None or row["entropy"] == pytest.approx(float(decode.entropies(__import__("numpy").frombuffer(data, "u1")[at : at + 4096][None], 4096)[0]))
 
 
 @pytest.mark.parametrize(
