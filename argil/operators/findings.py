@@ -71,6 +71,13 @@ def gate(findings: DataFrame, fail_on: str = "high") -> DataFrame:
     return worst(findings).select(F.when(F.col("worst") >= dims.SEVERITIES.index(fail_on), 1).otherwise(0).alias("exit_code"), "worst")
 
 
+def gates(findings: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row: for each pair of a least severity shown and one to fail on, the exit code. One aggregation, whatever the pairs."""
+    shown = [F.coalesce(F.max(F.when(F.col("sev_ord") >= dims.SEVERITIES.index(least), F.col("sev_ord"))), F.lit(0)) for least, _ in pairs]
+    codes = [F.when(w >= dims.SEVERITIES.index(fail_on), 1).otherwise(0).alias("exit_code") for w, (_, fail_on) in zip(shown, pairs)]
+    return findings.agg(F.array(*(F.struct(F.lit(least).alias("min_severity"), F.lit(fail_on).alias("fail_on"), c) for c, (least, fail_on) in zip(codes, pairs))).alias("gates"))
+
+
 def new_since(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Findings that an earlier scan doesn't have: same artifact, rule, place and evidence count as the same. An equi anti-join."""
     key = ["path", "rule_id", "component", "offset", "evidence"]

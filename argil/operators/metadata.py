@@ -33,7 +33,7 @@ def exploded(kv: DataFrame) -> DataFrame:
     return kv.select("path", "ord", "key", F.explode(hits(F.col("value"))).alias("h")).select("path", "ord", "key", "h.*")
 
 
-_DETAILS = ("a build path names an account or a host", "names a cloud service or an internal network", "holds a link, which may lead to private systems")
+DETAILS = ("a build path names an account or a host", "names a cloud service or an internal network", "holds a link, which may lead to private systems")
 
 
 def scan_values(kv: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def scan_values(kv: DataFrame) -> DataFrame:
             of([F.lit(r.severity) for r in rules]),
             of([F.lit(r.confidence) for r in rules]),
             of([F.lit(r.name) for r in rules]),
-            F.concat(F.lit("Field `"), "key", F.lit("`: "), of([F.lit(d) for d in _DETAILS]), F.lit(".")),
+            F.concat(F.lit("Field `"), "key", F.lit("`: "), of([F.lit(d) for d in DETAILS]), F.lit(".")),
             F.concat(F.lit("metadata:"), "key"),
             references=references,
             evidence=F.col("hit"),

@@ -80,15 +80,15 @@ def files(spark: SparkSession) -> DataFrame:
 
 FILES_SQL = "(VALUES " + ", ".join(f"('{p}', '{h}')" for p, h in FILES) + ") AS f(path, hex)"
 
-_MODULES = ("os", "posix", "subprocess.run", "builtins", "__builtin__", "sys", "importlib.util", "collections", "collections.abc", "torch", "torch.nn", "torchx", "numpy.core", "numpyfoo", "operator", "_codecs", "codecs", "base64", "copyreg", "osx", "pickle", "http.client")
-_NAMES = ("system", "eval", "exec", "compile", "open", "getattr", "attrgetter", "itemgetter", "print", "_reconstructor", "encode", "OrderedDict", "__import__")
+MODULES = ("os", "posix", "subprocess.run", "builtins", "__builtin__", "sys", "importlib.util", "collections", "collections.abc", "torch", "torch.nn", "torchx", "numpy.core", "numpyfoo", "operator", "_codecs", "codecs", "base64", "copyreg", "osx", "pickle", "http.client")
+NAMES = ("system", "eval", "exec", "compile", "open", "getattr", "attrgetter", "itemgetter", "print", "_reconstructor", "encode", "OrderedDict", "__import__")
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An import for each part, module and name cycling through all that matter."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    pick = [F.element_at(F.array(*map(F.lit, v)), (F.col("p_partkey") % len(v)).cast("int") + 1) for v in (_MODULES, _NAMES)]
+    pick = [F.element_at(F.array(*map(F.lit, v)), (F.col("p_partkey") % len(v)).cast("int") + 1) for v in (MODULES, NAMES)]
     return part.select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), pick[0].alias("module"), pick[1].alias("name"), (F.col("p_size") % 2 == 0).alias("has_reduce"))
 
 
-IMPORTS_SQL = "(SELECT 'part/' || p_partkey AS path, [" + ", ".join(f"'{m}'" for m in _MODULES) + f"][CAST(p_partkey % {len(_MODULES)} AS INTEGER) + 1] AS module, [" + ", ".join(f"'{n}'" for n in _NAMES) + f"][CAST(p_partkey % {len(_NAMES)} AS INTEGER) + 1] AS name, p_size % 2 = 0 AS has_reduce FROM part)"
+IMPORTS_SQL = "(SELECT 'part/' || p_partkey AS path, [" + ", ".join(f"'{m}'" for m in MODULES) + f"][CAST(p_partkey % {len(MODULES)} AS INTEGER) + 1] AS module, [" + ", ".join(f"'{n}'" for n in NAMES) + f"][CAST(p_partkey % {len(NAMES)} AS INTEGER) + 1] AS name, p_size % 2 = 0 AS has_reduce FROM part)"

@@ -11,6 +11,10 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def quoted_list(texts: Sequence[str]) -> str:
+    return "[" + ", ".join(map(quoted, texts)) + "]"
+
+
 def redact(x: str) -> str:
     return f"CASE WHEN length({x}) <= 8 THEN repeat('*', length({x})) ELSE left({x}, 4) || '…' || right({x}, 4) || ' (' || length({x}) || ' chars)' END"
 
@@ -44,7 +48,10 @@ def human_bytes(n: str) -> str:
 
 def hits(kv: str, rule: dims.Rule) -> str:
     """Rows ``path, ord, key, n, hit``: the first matches of a rule in each value."""
-    inner = f"SELECT path, ord, key, unnest(regexp_extract_all(value, {quoted(rule.pattern)})[1:{rule.most}]) AS hit, unnest(range(0, least({rule.most}, len(regexp_extract_all(value, {quoted(rule.pattern)}))))) AS n FROM {kv}"
+    # a letter of any alphabet ends no word for Java; RE2 knows ASCII words only, so for digits letters become ASCII ones
+    value = r"regexp_replace(value, '[\p{L}\p{M}]', 'x', 'g')" if rule.rule_id == dims.LUHN_RULE else "value"
+    found = f"regexp_extract_all({value}, {quoted(rule.pattern)})"
+    inner = f"SELECT path, ord, key, unnest({found}[1:{rule.most}]) AS hit, unnest(range(0, least({rule.most}, len({found})))) AS n FROM {kv}"
     return f"SELECT * FROM ({inner})" + (f" WHERE {luhn('hit')}" if rule.rule_id == dims.LUHN_RULE else "")
 
 
@@ -61,3 +68,18 @@ def findings(kv: str, pii: Sequence[dims.Rule] = dims.PII_RULES, secrets: Sequen
             rows = path_hits(kv) if r.rule_id == "THK-MET-001" else hits(kv, r)
             parts.append(f"SELECT path, '{r.rule_id}' AS rule_id, '{scanner}' AS scanner, '{r.severity}' AS severity, CAST({r.confidence} AS DOUBLE) AS confidence, key, CAST(n AS INTEGER) AS n, hit FROM ({rows})")
     return "\nUNION ALL ".join(parts)
+
+
+def texts(rule_id: str) -> str:
+    """Columns ``title, detail, refs, remediation, evidence`` of findings in a metadata table, from their rule, key and hit."""
+    from argil.operators.metadata import DETAILS
+
+    table: dict[str, list[str]] = {n: [] for n in ("title", "detail", "refs", "remediation", "evidence")}
+    for rules, kind in ((dims.SECRET_RULES, 0), (dims.PII_RULES, 1), (dims.METADATA_RULES, 2)):
+        for i, r in enumerate(rules):
+            title = (f"{quoted(r.name + ' embedded in artifact')}", f"{quoted(r.name + ' in metadata field `')} || key || '`'", quoted(r.name))[kind]
+            detail = (quoted(f"The artifact holds what looks like a credential: {r.name}."), f"'The value of `' || key || {quoted('` looks like personal data: ' + r.name.lower() + '.')}", f"'Field `' || key || {quoted('`: ' + DETAILS[min(i, 2)] + '.')}")[kind]
+            values = (title, detail, quoted("; ".join(r.references)), quoted(r.remediation or ""), "hit" if kind == 2 else redact("hit"))
+            for name, value in zip(table, values):
+                table[name].append(f"WHEN '{r.rule_id}' THEN {value}")
+    return ", ".join(f"CASE {rule_id} {' '.join(whens)} END AS {name}" for name, whens in table.items())
