@@ -7,9 +7,6 @@ temporary arrays follow the slice and not the partition.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +15,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from argil.sources.shared import cut as cut
+from argil.sources.shared import shared_dir as shared_dir
+
 SLICE_BYTES = 4 << 20
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -142,25 +142,6 @@ def covered(n: int, at: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the folder that ``spark.checkpoint.dir`` names; only where none is named, as in tests, in a
-    temporary one."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A session on one machine that names none gets a temporary one; a cluster must name it."""
-    context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="argil-")
-        atexit.register(shutil.rmtree, own, True)
-        context.setCheckpointDir(own)
-    return context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right, insort
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,9 @@ _SIBLINGS = {
     "rt": (("rt", "rp"), ("ruby", "rtc")),
     "rp": (("rt", "rp"), ("ruby", "rtc")),
 }
-#: Nested tables deeper than this are laid out as blocks, and columns are aligned up to this width; no text is lost by either.
-_TABLE_DEPTH, _COLUMN = 16, 120
+#: Nested tables deeper than this are laid out as blocks; columns are aligned up to this width, and up to this place in a line; lines
+#: are indented so far at most. No text is lost by any of these, and a page's text stays in proportion to the page.
+_TABLE_DEPTH, _COLUMN, _LINE, _INDENT = 16, 120, 1000, 80
 
 #: What collapses to one space; a single space is one already.
 _SPACE = re.compile(r"[ \t\n\f\r]{2,}|[\t\n\f\r]")
@@ -75,36 +77,48 @@ def _tag_end(text: str, at: int) -> int:
 
 
 class Builder:
-    """A tree from HTML in one pass. Never recursive, and linear but for tags that close many others."""
+    """A tree from HTML in one pass, never recursive. Open elements have fixed places in a list; a formatting element that ends
+    before those in it leaves a hole there. The innermost open element of each tag is known, so that each step costs the same
+    however deep the tree, but for the elements that it closes."""
 
     def __init__(self) -> None:
         self.root = Node("html")
-        self.stack, self.open = [self.root], {"html": 1}
+        self.stack: list[Node | None] = [self.root]
+        self.open: dict[str, list[int]] = {"html": [0]}
+        self.blocks: list[int] = []
+
+    @property
+    def top(self) -> Node:
+        while self.stack[-1] is None:
+            self.stack.pop()
+        return self.stack[-1]
 
     def _push(self, node: Node) -> None:
-        self.stack[-1].children.append(node)
+        self.top.children.append(node)
         if node.tag not in _VOID:
+            self.open.setdefault(node.tag, []).append(len(self.stack))
+            if node.tag in _BLOCKS:
+                self.blocks.append(len(self.stack))
             self.stack.append(node)
-            self.open[node.tag] = self.open.get(node.tag, 0) + 1
 
-    def _pop(self) -> str:
-        tag = self.stack.pop().tag
-        self.open[tag] -= 1
-        return tag
+    def _pop(self) -> None:
+        node = self.stack.pop()
+        if node is not None:
+            self.open[node.tag].pop()
+            if node.tag in _BLOCKS:
+                self.blocks.pop()
+
+    def _innermost(self, tags: Iterable[str]) -> int:
+        return max((own[-1] for t in tags if (own := self.open.get(t))), default=0)
 
-    def _close(self, tags: tuple[str, ...], limits: frozenset | tuple) -> bool:
-        """Close the innermost of ``tags`` and all in it, unless one of ``limits`` is met first."""
-        if not any(self.open.get(t) for t in tags):
+    def _close(self, tags: Iterable[str], limits: Iterable[str]) -> bool:
+        """Close the innermost of ``tags`` and all in it, unless one of ``limits`` is in it."""
+        at = self._innermost(tags)
+        if not at or self._innermost(limits) > at:
             return False
-        for k in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[k].tag
-            if tag in tags:
-                while len(self.stack) > k:
-                    self._pop()
-                return True
-            if tag in limits:
-                return False
-        return False
+        while len(self.stack) > at:
+            self._pop()
+        return True
 
     def start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in ("html", "body"):
@@ -116,14 +130,14 @@ class Builder:
             self._close(("head",), ())
         if tag in _CLOSES_P:
             self._close(("p",), _SCOPE | {"button"})
-        if tag in _HEADINGS and self.stack[-1].tag in _HEADINGS:
+        if tag in _HEADINGS and self.top.tag in _HEADINGS:
             self._pop()
         if tag in _SIBLINGS:
             tags, limits = _SIBLINGS[tag]
             while self._close(tags, limits):
                 pass
             if tag in ("td", "th", "tr") and self.open.get("table"):
-                top = self.stack[-1].tag
+                top = self.top.tag
                 if top == "table":
                     self._push(Node("tbody"))
                     top = "tbody"
@@ -139,7 +153,7 @@ class Builder:
         elif tag in ("html", "body"):
             return
         elif tag == "p" and not self._close(("p",), _SCOPE | {"button"}):
-            self.stack[-1].children.append(Node("p"))
+            self.top.children.append(Node("p"))
         elif tag in _HEADINGS:
             self._close(tuple(_HEADINGS), _SCOPE)
         elif tag in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption", "template"):
@@ -150,23 +164,19 @@ class Builder:
             self._close((tag,), _SCOPE)
         elif self.open.get(tag):
             # a formatting element ends, while blocks that it was left open in go on
-            for k in range(len(self.stack) - 1, 0, -1):
-                own = self.stack[k].tag
-                if own == tag:
-                    if any(n.tag in _BLOCKS for n in self.stack[k + 1 :]):
-                        del self.stack[k]
-                        self.open[tag] -= 1
-                    else:
-                        while len(self.stack) > k:
-                            self._pop()
-                    break
-                if own in _SCOPE:
-                    break
+            at = self.open[tag][-1]
+            if self._innermost(_SCOPE) > at:
+                return
+            if self.blocks and self.blocks[-1] > at:
+                self.stack[at] = None
+                self.open[tag].pop()
+            else:
+                self._close((tag,), ())
 
     def text(self, text: str) -> None:
-        if self.open.get("head") and self.stack[-1].tag == "head" and not text.isspace():
+        if self.open.get("head") and self.top.tag == "head" and not text.isspace():
             self._close(("head",), ())
-        self.stack[-1].children.append(html.unescape(text) if "&" in text else text)
+        self.top.children.append(html.unescape(text) if "&" in text else text)
 
 
 def parse(text: str) -> Node:
@@ -216,9 +226,9 @@ def parse(text: str) -> Node:
         if tag in _RAW or tag in _RCDATA:
             stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(text, at)
             body = text[at : stop.start() if stop else n]
-            build.stack[-1].children.append(html.unescape(body) if tag in _RCDATA else body)
+            build.top.children.append(html.unescape(body) if tag in _RCDATA else body)
             build.end(tag)
-            if build.stack[-1].tag == tag:
+            if build.top.tag == tag:
                 build._pop()
             at = _tag_end(text, stop.end()) + 1 if stop else n
             if stop and not at:
@@ -245,9 +255,9 @@ class Flow:
             if self.lines:
                 self.lines.extend([""] * self.gap)
             self.gap = 0
-            pad = " " * self.indent
+            pad = " " * min(self.indent, _INDENT)
             if self.marker:
-                pad = pad[: max(0, self.indent - len(self.marker))] + self.marker
+                pad = pad[: max(0, len(pad) - len(self.marker))] + self.marker
                 self.marker = ""
             self.line.append(pad)
 
@@ -302,9 +312,8 @@ class Flow:
         self.end_line()
         while self.lines and not self.lines[-1].strip():
             self.lines.pop()
-        while self.lines and not self.lines[0].strip():
-            del self.lines[0]
-        return self.lines
+        begin = next((k for k, line in enumerate(self.lines) if line.strip()), 0)
+        return self.lines[begin:] if begin else self.lines
 
 
 def _span(node: Node, name: str, most: int) -> int:
@@ -318,54 +327,60 @@ class Table:
     def __init__(self) -> None:
         self.caption: list[str] = []
         self.rows: list[dict[int, list[str]]] = []
-        self.taken: dict[int, int] = {}
-        self.spans: list[tuple[int, int, int]] = []
+        # columns that cells of earlier rows reach down into: where they begin, in order; where they end, and their last row
+        self.starts: list[int] = []
+        self.taken: dict[int, tuple[int, int]] = {}
+        self.wide: set[tuple[int, int]] = set()
+        self.free = 0
 
     def row(self) -> None:
-        self.taken = {c: n - 1 for c, n in self.taken.items() if n > 1}
         self.rows.append({})
+        self.free = 0
 
     def cell(self, node: Node, lines: list[str]) -> None:
         if not self.rows:
             self.row()
-        row, column = self.rows[-1], 0
-        if row or self.taken:
-            column = max(row) + 1 if row else 0
-            for r, c, n in reversed(self.spans):
-                if r != len(self.rows) - 1:
-                    break
-                column = max(column, c + n)
-            while column in self.taken:
-                column += 1
+        now, column = len(self.rows) - 1, self.free
+        while True:
+            k = bisect_right(self.starts, column)
+            end, last = self.taken[self.starts[k - 1]] if k else (0, 0)
+            if end <= column or last < now:
+                break
+            column = end
         across, down = _span(node, "colspan", 1000), _span(node, "rowspan", 65534)
-        row[column] = lines
+        self.rows[-1][column] = lines
+        self.free = column + across
         if across > 1:
-            self.spans.append((len(self.rows) - 1, column, across))
+            self.wide.add((now, column))
         if down > 1:
-            for c in range(column, column + across):
-                self.taken[c] = down
+            if column not in self.taken:
+                insort(self.starts, column)
+            self.taken[column] = (column + across, now + down - 1)
 
     def lines(self) -> list[str]:
         """Rows with columns two spaces apart. A cell over several columns doesn't widen the first of them."""
-        wide = {(r, c) for r, c, _ in self.spans}
         widths: dict[int, int] = {}
         for r, row in enumerate(self.rows):
             for c, cell in row.items():
-                size = max((w for w in map(_width, cell) if w <= _COLUMN), default=0) if (r, c) not in wide else 0
+                size = max((w for w in map(_width, cell) if w <= _COLUMN), default=0) if (r, c) not in self.wide else 0
                 widths[c] = max(widths.get(c, 0), size)
         starts, at = {}, 0
         for c in sorted(widths):
-            starts[c] = at
+            starts[c] = at if at <= _LINE else 0
             at += widths[c] + 2 if widths[c] else 0
         out = list(self.caption)
         for row in self.rows:
-            for k in range(max((len(cell) for cell in row.values()), default=0)):
+            parts: list[list[tuple[int, str]]] = [[] for _ in range(max((len(cell) for cell in row.values()), default=0))]
+            for c in sorted(row):
+                for k, text in enumerate(row[c]):
+                    if text:
+                        parts[k].append((starts[c], text))
+            for own in parts:
                 line, used = [], 0
-                for c in sorted(row):
-                    if k < len(row[c]) and row[c][k]:
-                        pad = starts[c] - used if starts[c] > used else 2 if used else 0
-                        line.append(" " * pad + row[c][k])
-                        used += pad + _width(row[c][k])
+                for start, text in own:
+                    pad = start - used if start > used else 2 if used else 0
+                    line.append(" " * pad + text)
+                    used += pad + _width(text)
                 out.append("".join(line))
         return out
 
@@ -513,8 +528,9 @@ def to_text(text: str | None) -> str | None:
 def extract(pages: DataFrame, html_column: str = "html", out_column: str = "text") -> DataFrame:
     """Add the visible text of each page. A column of that name is replaced; other columns and repeated rows pass through.
 
-    A null gives null, an empty page an empty text. Whole pages are read, one at a time; nothing is shuffled or dropped: markup
-    that can't be read is read as a browser would, and very deep or wide tables lose their alignment, not their text.
+    A null gives null, an empty page an empty text; no pages, no rows. Whole pages are read, one at a time, in time and memory linear
+    in a page's length whatever its markup; nothing is shuffled or dropped: markup that can't be read is read as a browser would,
+    and very deep or wide tables lose their alignment, not their text.
     """
     rest = [c for c in pages.columns if c != out_column or c == html_column]
     place = rest.index(html_column)
