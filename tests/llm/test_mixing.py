@@ -66,6 +66,26 @@ def test_take_keeps_columns(spark):
     assert all(r.taken and r.text == ("x y" if r.doc_id is None else "a b c") for r in found)
 
 
+def test_take_is_one_to_one(spark):
+    rows = [(7, "a b", "s", "x"), (7, "c d", "s", "y"), (8, "e f", "s", "z")] + [(None, "same text", "t", str(i % 7)) for i in range(40)] + [(9, "same again", None, "w")] * 5 + [(1, None, "s", "n")] * 4
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("taken", "mine")
+    out = sorted(map(tuple, mixing.take(docs.repartition(3), block=8).collect()), key=repr)
+    left = [r[:4] for r in map(tuple, docs.collect())]
+    for r in out:
+        left.remove(r[:4])  # each row once at most
+        assert r[-1] in (r[4], 2 * r[4])
+    assert sum(r[-1] for r in out) == sum(r.taken for r in mixing.mix(docs).collect()) > 60
+    assert out == sorted(map(tuple, mixing.take(docs.repartition(5)).collect()), key=repr)
+
+
+def test_copies_unfold_in_blocks(spark, tmp_path):
+    rows = [(None, "one two", "a", None)] * 50 + [(None, None, "b", None)] * 30 + [(i, f"w{i}", "b", None) for i in range(20)]
+    whole = compare(spark, rows, tmp_path)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    split = mixing.mix(docs, block=7).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(tuple, split), key=repr) == whole
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None)], [(1, "one", "a", None)], [(1, "", "a", None), (2, " ", "b", None)]])
 def test_few_rows(spark, tmp_path, rows):
     assert len(compare(spark, rows, tmp_path)) == len(rows)
