@@ -9,8 +9,9 @@ FOLDS = 5
 
 
 def held_out(id_column: str) -> Column:
-    """Whether a document is kept from training: CRC-32 of its id as text is divisible by ``FOLDS``."""
-    return (F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS == 0).alias("held_out")
+    """Whether a document is kept from training: CRC-32 of its id as text is divisible by ``FOLDS``. False for a null id, which no label
+    can name, so that such a document is never learnt from either."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS == 0, F.lit(False)).alias("held_out")
 
 
 def labelled(labels: DataFrame, label: str, id_column: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from argil.llm._labels import held_out, sample
+from argil.llm._labels import held_out, labelled, sample
 from argil.llm._stats import FEATURES, features
 from argil.llm._text import raw, read, slices
 
@@ -99,18 +99,27 @@ def _with_statistics(docs: DataFrame, text_column: str, columns: list[str]) -> D
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> Forest:
-    """Train on a bounded sample of labelled rows, weighted back to the classes' shares among all labels."""
-    chosen = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(F.broadcast(sample(labels, label, most)), "doc_id")
-    found = _with_statistics(chosen, "text", ["doc_id", "label"]).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    """Train on a bounded sample of labelled rows, weighted back to the classes' shares among all labels.
+
+    Rows without an id, a label of 0 or 1, or a document are passed over, and so are ids with contradicting labels and held-out ids.
+    Of rows that share an id one is learnt from, that with the smallest statistics in their order. Without labels, or of one class
+    only, all documents score alike.
+    """
+    chosen = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(F.broadcast(sample(labels, label, most, id_column)), "doc_id")
+    rows = _with_statistics(chosen, "text", ["doc_id", "label"]).groupBy("doc_id", "label").agg(F.min("__x").alias("__x"))
+    found = rows.toArrow().sort_by("doc_id")
     y = found.column("label").to_numpy().astype(np.float64)
     x = np.array(found.column("__x").to_pylist(), dtype=np.float64).reshape(len(y), len(FEATURES))
-    shares = {r[0]: r[1] for r in labels.filter(~held_out(id_column)).groupBy(label).count().collect() if r[0] in (0, 1)}
+    shares = {r[0]: r[1] for r in labelled(labels, label, id_column).groupBy("label").count().collect()}
     weight = np.array([shares[int(v)] / max((y == v).sum(), 1) for v in y]) if len(y) else None
     return train(x, y, weight / weight.mean() if len(y) else None)
 
 
 def score(docs: DataFrame, forest: Forest, text_column: str = "text", score_column: str = "score") -> DataFrame:
-    """Add the score of each whole text, 0 to 1; a null or empty text scores too. A column of that name is replaced."""
+    """Add the score of each whole text, 0 to 1; a null or empty text scores too. A column of that name is replaced, unless it is the
+    text's own, which is an error. Other columns, nulls in them and repeated rows pass through; no rows, no rows."""
+    if text_column == score_column:
+        raise ValueError("the score needs a column of its own")
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # of a fixed size
     rest = [c for c in docs.columns if c != score_column]
     place = rest.index(text_column)
@@ -125,7 +134,7 @@ def score(docs: DataFrame, forest: Forest, text_column: str = "text", score_colu
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1: quality score of every document."""
+    """op1: quality score of every document; one without an id isn't held out."""
     docs = read(spark, sf_dir, "documents")
     scored = score(docs.select("doc_id", "text"), fit(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out("doc_id"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

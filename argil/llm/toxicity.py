@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 from argil.llm._labels import held_out, labelled, sample
 from argil.llm._text import cut, hash_spans, raw, read, slices
 
-#: Most training rows of each class, a proven bound of what reaches the driver; whole texts are read all the same.
-SAMPLE = 4000
+#: Most training rows of each class, and most words that they have together: a proven bound of what reaches the driver, 10 bytes a
+#: word. Whole texts are learnt from; one that would go beyond the bound is left out of the sample.
+SAMPLE, SAMPLE_WORDS = 4000, 8_000_000
 BUCKETS, TABLES, DIM, WIDTHS, FILTERS = 1 << 16, 5, 4, (1, 2, 3), 8
 STEMS = (4, 6, 8)
 EPOCHS, BATCH, RATE, DECAY, SEED = 6, 64, 0.01, 1e-4, 7
 THRESHOLD = 0.5
-#: Between these a language's own threshold may lie; few calibration rows would else put it anywhere between two scores.
-BOUNDS = (0.2, 0.8)
+#: Between these a language's own threshold may lie; few calibration rows would else put it anywhere between two scores. The threshold
+#: of all rows weighs in it like so many rows.
+BOUNDS, PRIOR = (0.2, 0.8), 50
 #: Calibration counts rows in bins of the score's log-odds, so many a unit and up to this far from zero, for so many languages.
 BINS, FAR, LANGS = 64, 16, 200
 _CHUNK = 1 << 18
@@ -179,25 +181,36 @@ def train(docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
     return m
 
 
+def best_threshold(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The threshold of best F1, half-way between two scores; the highest of equally good ones."""
+    order = np.argsort(-scores, kind="stable")
+    s, t, w = scores[order], y[order], weight[order]
+    hits, n = np.cumsum(t * w), np.cumsum(w)
+    f1 = 2 * hits / (n + hits[-1])
+    f1[:-1][s[:-1] == s[1:]] = -1  # a threshold can't part equal scores
+    best = int(f1.argmax())
+    return float((s[best] + (s[best + 1] if best + 1 < len(s) else 0.0)) / 2)
+
+
 def calibrate(scores: np.ndarray, y: np.ndarray, langs: list[str | None], count: np.ndarray) -> dict[str | None, float]:
-    """Threshold of best F1 for each language with both classes; "" is that of all rows, for any other language.
+    """Threshold of each language with both classes; "" is that of all rows, for any other language and for none.
 
     A row is all documents of one score, class and language; ``count`` is ``(n, 2)``: how many were seen, and for how many they stand.
+    A language's threshold is the one of its best F1 and that of all rows, averaged as log-odds by ``n`` rows seen and ``PRIOR``: the
+    fewer the rows, the nearer to that of all.
     """
-    found: dict[str | None, float] = {}
+    if not 0 < y.sum() < len(y):
+        return {}
+    logit = lambda p: np.log(p) - np.log1p(-p)
+    common = best_threshold(scores, y, count[:, 1])
+    found: dict[str | None, float] = {"": common}
     names = np.array([x if x is not None else "" for x in langs], dtype=object)
-    for name in ["", *sorted(set(names) - {""})]:
-        own = names == name if name else np.ones(len(y), dtype=bool)
-        if count[own, 0].sum() < 50 or not 0 < y[own].sum() < own.sum():
-            continue
-        order = np.argsort(-scores[own], kind="stable")
-        s, t, w = scores[own][order], y[own][order], count[own, 1][order]
-        hits, n = np.cumsum(t * w), np.cumsum(w)
-        f1 = 2 * hits / (n + hits[-1])
-        f1[:-1][s[:-1] == s[1:]] = -1  # a threshold can't part equal scores
-        best = int(f1.argmax())
-        below = s[best + 1] if best + 1 < len(s) else 0.0
-        found[name] = float((s[best] + below) / 2)
+    for name in sorted(set(names) - {""}):
+        own = names == name
+        if 0 < y[own].sum() < own.sum():
+            n = count[own, 0].sum()
+            each = np.clip([best_threshold(scores[own], y[own], count[own, 1]), common], 1e-6, 1 - 1e-6)
+            found[name] = float(1 / (1 + np.exp(-(n * logit(each[0]) + PRIOR * logit(each[1])) / (n + PRIOR))))
     return found
 
 
@@ -229,24 +242,35 @@ def unseen(docs: DataFrame, labels: DataFrame, label: str, model: Model, trained
     return scores, found.column("label").to_numpy(), found.column("lang").to_pylist(), found.column("n").to_numpy()
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = "lang") -> tuple[Model, dict]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, words: int = SAMPLE_WORDS, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = "lang") -> tuple[Model, dict]:
     """Train on four fifths of a bounded sample of labelled rows, and calibrate thresholds by language on all the others.
 
     The sample takes another share of each class than the table has. What is left of a class therefore stands for all of it.
+    Rows without an id, a label of 0 or 1, or a document are passed over, and so are ids with contradicting labels and held-out ids.
+    Of rows that share an id one is learnt from, that with the smallest words as they are hashed. Without labels, or of one class
+    only, all documents score alike, and no language has a threshold of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashed, first = tokens(*raw(part.column(part.schema.get_field_index("text"))))
-                words = [hashed[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.binary())], names=["doc_id", "label", "words"])
+                own = [hashed[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary())], names=["doc_id", "label", "words"])
 
     lang = F.col(lang_column) if lang_column else F.lit(None)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), lang.cast("string").alias("lang"), F.col(text_column).alias("text"))
     labels = labels.withColumn("doc_id", F.col("doc_id").cast("long"))
     chosen = rows.join(F.broadcast(sample(labels, label, most)), "doc_id").select("doc_id", "label", "text")
-    found = chosen.mapInArrow(run, "doc_id long, label int, words binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    hashed = cut(chosen.mapInArrow(run, "doc_id long, label int, words binary").groupBy("doc_id", "label").agg(F.min("words").alias("words")))
+    sizes = hashed.select("doc_id", "label", F.octet_length("words").cast("long").alias("size"), F.xxhash64("doc_id").alias("h")).toArrow().sort_by([("label", "ascending"), ("h", "ascending")])
+    fits, room = [], {0: words, 1: words}
+    for i, y, size in zip(*(sizes.column(c).to_pylist() for c in ("doc_id", "label", "size"))):
+        if size // (2 * TABLES) <= room[y]:
+            fits.append(i)
+            room[y] -= size // (2 * TABLES)
+    within = hashed if len(fits) == len(sizes) else hashed.filter(F.col("doc_id").isin(fits))
+    found = within.toArrow().sort_by("doc_id")
     texts = [np.frombuffer(x, dtype=np.uint16).reshape(-1, TABLES) for x in found.column("words").to_pylist()]
     y = found.column("label").to_numpy()
     if not 0 < y.sum() < len(y):
@@ -269,7 +293,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", score_column: str = "score") -> DataFrame:
-    """Add the score of each whole text, 0 to 1; a null or empty text scores too. A column of that name is replaced."""
+    """Add the score of each whole text, 0 to 1; a null or empty text scores too. A column of that name is replaced, unless it is the
+    text's own, which is an error. Other columns, nulls in them and repeated rows pass through; no rows, no rows."""
+    if text_column == score_column:
+        raise ValueError("the score needs a column of its own")
     parameters = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
     rest = [c for c in docs.columns if c != score_column]
     place = rest.index(text_column)
@@ -295,13 +322,15 @@ def threshold(by_lang: dict, lang_column: str = "lang") -> Column:
 
 
 def keep(docs: DataFrame, model: Model, by_lang: dict, lang_column: str = "lang") -> DataFrame:
-    """The documents that score below the threshold of their language. Columns stay as they are."""
-    scored = score(docs, model, score_column="__score")
-    return scored.filter(F.col("__score") < threshold(by_lang, lang_column)).select(*docs.columns)
+    """The documents that score below the threshold of their language, or of all where it is null or has none. Columns stay as they
+    are, whatever their names; repeated rows stay or go together."""
+    own = "__score" + "_" * max(map(len, docs.columns))
+    return score(docs, model, score_column=own).filter(F.col(own) < threshold(by_lang, lang_column)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8: toxicity score of every document, and the verdict by the threshold of its language."""
+    """op8: toxicity score of every document, and the verdict by the threshold of its language; one without an id isn't held
+    out."""
     docs = read(spark, sf_dir, "documents")
     model, by_lang = fit(docs, read(spark, sf_dir, "labels"))
     scored = score(docs.select("doc_id", "lang", "text"), model)

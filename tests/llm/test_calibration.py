@@ -62,3 +62,29 @@ def test_four_thousand_rows_a_class_are_learnt_from(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append(np.bincount(y)) or toxicity._initial(texts, y, np.random.default_rng(0)))
     toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
     assert seen[0].sum() == 6400
+
+
+def test_thresholds_by_brute_force():
+    """The common threshold tries every cut; a language's moves from it to its own as its rows grow."""
+    r = np.random.default_rng(3)
+    scores, y = np.round(r.random(300), 2), (r.random(300) < 0.4).astype(int)
+    scores = np.clip(scores + 0.3 * y, 0.01, 0.99)
+    langs = ["en" if x else "de" for x in r.random(300) < 0.7]
+    count = np.stack([np.ones(300), r.integers(1, 5, 300)], axis=1).astype(float)
+
+    def f1(at, own):
+        hit = own & (scores >= at)
+        return 2 * count[hit & (y == 1), 1].sum() / (count[hit, 1].sum() + count[own & (y == 1), 1].sum())
+
+    found = toxicity.calibrate(scores, y, langs, count)
+    every = np.ones(300, dtype=bool)
+    assert f1(found[""], every) == pytest.approx(max(f1(x, every) for x in np.linspace(0, 1, 1001)))
+    logit = lambda p: np.log(p / (1 - p))
+    for name in ("en", "de"):
+        own = np.array([x == name for x in langs])
+        best = toxicity.best_threshold(scores[own], y[own], count[own, 1])
+        assert f1(best, own) == pytest.approx(max(f1(x, own) for x in np.linspace(0, 1, 1001)))
+        n = own.sum()
+        assert logit(found[name]) == pytest.approx((n * logit(best) + 50 * logit(found[""])) / (n + 50))
+    assert set(toxicity.calibrate(scores, y, [None] * 300, count)) == {""}
+    assert toxicity.calibrate(scores, y * 0, langs, count) == {}

@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 
 from argil.llm import compression_rules, quality, toxicity
-from argil.llm._labels import sample
+from argil.llm._labels import held_out, sample
+from argil.llm._stats import _CHARS, features
 from argil.llm._text import raw
-from tests.llm.test_kernels import column, slow_counts
+from tests.llm.test_kernels import WORD, column, slow_counts
 
 SCHEMA = "doc_id long, text string, lang string, score string"
 
@@ -83,6 +84,75 @@ def test_score_does_not_depend_on_neighbours(corpus):
     assert np.allclose(together, alone, atol=1e-5)
 
 
+def test_convolution_by_loops(corpus):
+    """Each filter at each place by plain loops, its maximum over a document, and the logistic layer."""
+    docs, labels, rows = corpus
+    model, _ = toxicity.fit(docs, labels)
+    for text in [rows[0][1], rows[6][1], "nasty", "one two"]:
+        hashed, _ = toxicity.tokens(*raw(column([text])))
+        x = [[float(model.embedding[k][b][d]) for k, b in enumerate(h) for d in range(toxicity.DIM)] for h in hashed]
+        z = model.out_bias
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                values = [sum(x[at + j][i] * float(model.filters[w][j][i][f]) for j in range(w) if at + j < len(x) for i in range(len(x[0]))) for at in range(len(x))]
+                z += max(0.0, max(values) + float(model.bias[k * toxicity.FILTERS + f])) * float(model.out[k * toxicity.FILTERS + f])
+        assert abs(model.scores(hashed, np.array([0, len(hashed)]))[0] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_words_of_the_sample_are_bounded(corpus, monkeypatch):
+    docs, labels, _ = corpus
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append((texts, y)) or toxicity._initial(texts, y.astype(np.float32), np.random.default_rng(0)))
+    toxicity.fit(docs, labels, words=2000)
+    texts, y = seen[0]
+    assert all(sum(len(t) for t, v in zip(texts, y) if v == k) <= 2000 for k in (0, 1)) and 0 < y.sum() < len(y)
+
+
+def test_repeated_ids_and_clashing_names(spark, corpus):
+    docs, labels, _ = corpus
+    twice = docs.unionByName(docs.limit(0)).union(spark.createDataFrame([(7, "another text", "en", "x"), (8, "nasty vileword", "de", "x")], SCHEMA))
+    models = [toxicity.fit(twice.repartition(n), labels)[0] for n in (2, 9)]
+    assert np.array_equal(models[0].embedding, models[1].embedding)
+    forests = [quality.fit(twice.repartition(n), labels) for n in (2, 9)]
+    assert np.array_equal(forests[0].leaf, forests[1].leaf)
+    own = docs.withColumn("__score", docs.doc_id)
+    assert sorted(r["__score"] for r in toxicity.keep(own, models[0], {}).filter("doc_id < 9").collect()) == sorted(r.doc_id for r in toxicity.keep(docs, models[0], {}).filter("doc_id < 9").collect())
+    for f, m in ((toxicity.score, models[0]), (quality.score, forests[0])):
+        with pytest.raises(ValueError):
+            f(docs, m, score_column="text")
+    assert [r[0] for r in spark.createDataFrame([(None,)], "doc_id long").select(held_out("doc_id")).collect()] == [False]
+
+
+def slow_features(text):
+    """The statistics of one text, each from its definition."""
+    b = text.encode()
+    share = {k: sum(x in v for x in b) / max(len(b), 1) for k, v in _CHARS.items()}
+    known = set().union(*map(set, _CHARS.values()))
+    other, high = (sum(f(x) for x in b) / max(len(b), 1) for f in (lambda x: x < 0x80 and x not in known, lambda x: x >= 0x80))
+    w = WORD.findall(text)
+    n = max(len(w), 1)
+    size = [len(x) for x in w]
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    mean = sum(size) / n
+    ends = [x.encode()[-1] for x in w]
+    windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    again = {j for i, x in enumerate(windows) if windows.count(x) > 1 for j in range(i, i + 8)}
+    rest = [np.log1p(len(w)), mean, max(sum(x * x for x in size) / n - mean**2, 0) ** 0.5, max(size, default=0)]
+    rest += [sum(x <= 3 for x in size) / n, sum(x >= 12 for x in size) / n, sum(x in b"#*$%&|<>" for x in ends) / n, sum(any(c in "#*$%&|<>" for c in x) for x in w) / n]
+    rest += [sum(x in b".!?" for x in ends) / n, sum(x == y for x, y in zip(w, w[1:])) / n, 1 - (len(w) - len(set(w))) / n]
+    rest += [np.log1p(len(lines)), len(w) / max(len(lines), 1), (len(lines) - len(set(lines))) / max(len(lines), 1), len(again) / n]
+    return [*share.values(), other, high, *rest]
+
+
+def test_statistics_by_definition(spark):
+    r = random.Random(2)
+    texts = ["", " \n", "one", "Ünï cödé. #tag |x| 日本語", "a b c d e f g h " * 3, "line\nline\n\nother line\n line"]
+    texts += [" ".join(r.choice(["alpha", "be", "gamma,", "x!", "#", "longlonglongword", "é", "12", "\n"]) for _ in range(r.randint(1, 60))) for _ in range(40)]
+    texts += [d.text for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if d.text and len(d.text) < 4000][:40]
+    for found, text in zip(features(*raw(column(texts))), texts):
+        assert np.allclose(found, slow_features(text)), text[:80]
+
+
 def test_no_labels(spark, corpus):
     docs, labels, rows = corpus
     for none in (labels.limit(0), labels.filter("toxic = 0 AND quality = 1")):
