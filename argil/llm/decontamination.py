@@ -18,12 +18,13 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: at most.
 BLOCKS, BLOCK_ERRORS = 7, 2
 RADIUS = BLOCKS * (BLOCK_ERRORS + 1) - 1
-#: Items that are broadcast at once; a longer benchmark takes several passes.
-ITEMS = 4096
+#: Bytes of index that are broadcast at once; a longer benchmark takes several passes. An item has so many bytes, and some a byte of text.
+BROADCAST, ITEM_BYTES, TEXT_BYTES = 64 << 20, 2 << 10, 4
 _EDGES = np.linspace(0, 64, BLOCKS + 1).astype(int)
 _LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
 _BITMAP = 22
-_WINDOWS = 4096
+#: Shingles whose bits are unpacked at once.
+_CELLS = 1 << 18
 
 
 def simhash(shingles: np.ndarray) -> np.ndarray:
@@ -55,7 +56,7 @@ class Length:
             own = (self.fps >> np.uint64(lo)).astype(np.int64) & ((1 << n) - 1)
             values = (own[:, None] ^ np.array(errors)).ravel()
             order = np.argsort(values, kind="stable")
-            self.index.append((int(lo), n, np.searchsorted(values[order], np.arange((1 << n) + 1)), order // len(errors)))
+            self.index.append((int(lo), n, np.searchsorted(values[order], np.arange((1 << n) + 1)), (order // len(errors)).astype(np.int32)))
 
     def candidates(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of a fingerprint and an item within ``RADIUS``."""
@@ -78,12 +79,22 @@ class Index:
     bitmap: dict[int, np.ndarray]
 
     def hits(self, h: np.ndarray, width: int) -> np.ndarray:
+        """Places of shingles that the benchmark has."""
         maybe = np.flatnonzero(self.bitmap[width][(h & np.uint64((1 << _BITMAP) - 1)).astype(np.int64)])
-        out = np.zeros(len(h) + 1, dtype=np.int64)
         known = self.known[width]
         at = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
-        out[maybe[known[at] == h[maybe]] + 1] = 1
-        return np.cumsum(out)
+        return maybe[known[at] == h[maybe]]
+
+
+def crowded(places: np.ndarray, wanted: int, least: int) -> np.ndarray:
+    """All starts of windows of ``wanted`` that hold ``least`` of the sorted ``places`` or more. The work follows the places, of which
+    ordinary text has few, not the text."""
+    if len(places) < least:
+        return np.zeros(0, dtype=np.int64)
+    high = places[: len(places) - least + 1]
+    low = np.maximum(places[least - 1 :] - wanted + 1, 0)
+    low[1:] = np.maximum(low[1:], high[:-1] + 1)
+    return ranges(low, np.maximum(high - low + 1, 0))
 
 
 def build(items: list[tuple[int, str]]) -> Index:
@@ -111,8 +122,10 @@ def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def find(index: Index, column: pa.Array) -> dict[tuple[int, int], tuple[float, int]]:
     """For each (row, item id) that match: the best similarity and the first word of the window that has it.
 
-    A window has as many words as the item, or is the whole text where that is shorter. A window is looked at if it has as many
-    benchmark shingles as the similarity needs at least, which passes over hardly any text but loses nothing.
+    A window has as many words as the item, or is the whole text where that is shorter. A window gets a fingerprint only if it has as
+    many benchmark shingles as the similarity needs: with ``n`` shingles in both, ``2 s / (1 + s) * n`` of them are shared at least,
+    so a window with fewer is similar to no item, and passing over it loses nothing. Fingerprints then choose the items to compare:
+    of 3000 pairs at a similarity of 0.8 to 0.85, of seven lengths, none was lost (``test_recall_near_the_threshold``).
     """
     h, first = _word_hashes(column)
     n = np.diff(first)
@@ -122,28 +135,26 @@ def find(index: Index, column: pa.Array) -> dict[tuple[int, int], tuple[float, i
         if own.width not in cache:
             s = hash_windows(h, own.width)
             cache[own.width] = s, index.hits(s, own.width)
-        s, hits = cache[own.width]
-        if not len(s) or not hits[-1]:
+        s, places = cache[own.width]
+        if not len(places):
             continue
         wanted = own.size - own.width + 1
-        least = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * wanted - 1e-9))
-        # only from where enough shingles follow that are known; places past the end of a row are dropped below
-        end = np.minimum(np.arange(len(s)) + wanted, len(s))
-        at = np.flatnonzero(hits[end] - hits[:-1] >= least)
+        at = crowded(places, wanted, int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * wanted - 1e-9)))
         row = np.searchsorted(first, at, side="right") - 1
         inside = at + own.size <= first[row + 1]
         _verify(own, s, at[inside], row[inside], wanted, first, found)
         short = np.flatnonzero((n >= own.width) & (n < own.size))
         count = n[short] - own.width + 1
-        enough = hits[np.minimum(first[short] + count, len(s))] - hits[first[short]] >= SIMILARITY / (1 + SIMILARITY) * (wanted + count) - 1e-9
-        for r in short[enough].tolist():
+        known = np.searchsorted(places, first[short] + count) - np.searchsorted(places, first[short])
+        for r in short[known >= SIMILARITY / (1 + SIMILARITY) * (wanted + count) - 1e-9].tolist():
             _verify(own, s, first[r : r + 1], np.array([r]), int(n[r] - own.width + 1), first, found)
     return found
 
 
 def _verify(own: Length, s: np.ndarray, at: np.ndarray, row: np.ndarray, shingles: int, first: np.ndarray, found: dict) -> None:
-    for lo in range(0, len(at), _WINDOWS):
-        places = at[lo : lo + _WINDOWS]
+    step = max(1, _CELLS // shingles)
+    for lo in range(0, len(at), step):
+        places = at[lo : lo + step]
         bags = s[places[:, None] + np.arange(shingles)]
         for w, i in zip(*(x.tolist() for x in own.candidates(simhash(bags)))):
             value, r = similarity(bags[w], own.shingles[i]), int(row[lo + w])
@@ -153,8 +164,10 @@ def _verify(own: Length, s: np.ndarray, at: np.ndarray, row: np.ndarray, shingle
 
 
 def _blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[Index]:
+    """Indexes of the benchmark's items; each fits ``BROADCAST``, but for an item that is larger itself."""
     items = benchmark.filter(F.col(text_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), F.col(text_column))
-    n = -(-items.count() // ITEMS)
+    size = items.agg(F.sum(ITEM_BYTES + TEXT_BYTES * F.octet_length(text_column))).first()[0] or 0
+    n = -(-size // BROADCAST)
     for k in range(n):
         yield build(sorted(tuple(r) for r in items.filter(F.pmod(F.xxhash64(*items.columns), F.lit(n)) == k).collect()))
 
@@ -165,8 +178,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
     Words are lower-cased (A-Z); shingles are five words, or all of an item that has fewer; similarity is weighted Jaccard over
     bags of shingles. Returns ``doc_id, item_id, similarity, start`` (first word of the best window) ``, n_words``. Null or empty
     texts match nothing; items without an id or a word are passed over; repeated rows each give their pairs, and repeated items
-    one. Other columns are not read. Nothing is shuffled: the benchmark is broadcast in blocks of about ``ITEMS``, and each block
-    is held against all documents.
+    one. Other columns are not read; an empty table gives no rows. Nothing is shuffled: the benchmark is broadcast in blocks of about
+    ``BROADCAST`` bytes, some ten thousand items, and each block is held against all documents.
     """
     schema = "doc_id long, item_id long, similarity double, start long, n_words long"
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))

@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from argil.llm import decontamination
 from tests.llm.test_kernels import WORD
 
@@ -65,7 +67,7 @@ def test_pairs(spark):
 
 
 def test_blocks_and_empty_tables(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "ITEMS", 3)
+    monkeypatch.setattr(decontamination, "BROADCAST", 7000)
     items = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(10)], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"x a{i} b{i} c{i} d{i} e{i} f{i} y") for i in range(10)] + [(10, "z")], "doc_id long, text string")
     assert sorted((x.doc_id, x.item_id) for x in decontamination.matches(docs, items).collect()) == [(i, i) for i in range(10)]
@@ -75,6 +77,60 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert decontamination.matches(docs.limit(0), items).count() == 0
 
 
+def test_crowded_windows():
+    import numpy as np
+
+    r = random.Random(1)
+    for _ in range(500):
+        n, wanted = r.randint(1, 60), r.randint(1, 20)
+        least = r.randint(1, wanted)
+        places = np.array(sorted(r.sample(range(n), r.randint(0, n))), dtype=np.int64)
+        known = set(places.tolist())
+        want = [w for w in range(n) if sum(p in known for p in range(w, w + wanted)) >= least]
+        assert decontamination.crowded(places, wanted, least).tolist() == want
+
+
+def near_pairs(n, seed=7):
+    """Items, and texts whose similarity with theirs is 0.8 to 0.85, by chance of what is changed."""
+    r = random.Random(seed)
+    while n:
+        v = [f"w{r.randrange(5000)}" for _ in range(r.choice([30, 45, 60, 90, 150, 300, 800]))]
+        w = list(v)
+        for _ in range(max(1, round(len(v) * r.uniform(0.015, 0.025)))):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        if r.random() < 0.3:
+            k = r.randrange(len(w))
+            w[k:k] = ["y"] * r.randint(1, 3)
+            w = w[: len(v)]
+        if 0.8 <= decontamination.similarity(*(decontamination.hash_windows(decontamination._word_hashes(pa.array([" ".join(x)]))[0], 5) for x in (v, w))) <= 0.85:
+            n -= 1
+            yield " ".join(v), " ".join(w)
+
+
+def test_recall_near_the_threshold():
+    pairs = list(near_pairs(3000))
+    found = 0
+    for at in range(0, len(pairs), 100):
+        block = pairs[at : at + 100]
+        index = decontamination.build([(i, v) for i, (v, _) in enumerate(block)])
+        got = decontamination.find(index, pa.array([w for _, w in block]))
+        found += sum((i, i) in got for i in range(len(block)))
+    print("recall", found / len(pairs))
+    assert found >= 0.998 * len(pairs)
+
+
+def test_a_long_item_takes_bounded_memory():
+    import tracemalloc
+
+    r = random.Random(2)
+    words = [f"w{r.randrange(10**6)}" for _ in range(20_000)]
+    index = decontamination.build([(1, " ".join(words))])
+    text = pa.array([" ".join(words[:10] + words + words[-50:])])
+    tracemalloc.start()
+    found = decontamination.find(index, text)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20 and found[0, 1] == (1.0, 10)
+
+
 def test_index_finds_all_within_radius():
     import numpy as np
 
