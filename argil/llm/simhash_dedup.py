@@ -300,21 +300,26 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """Keep one row of each group of ``near_duplicates``: that of the group's smallest id, of its repeated rows any one. Rows without
-    an id stay.
+    """Keep one row of each group of ``near_duplicates``: that of the group's smallest id, of its repeated rows the one with the
+    smallest hash of all columns. Rows without an id stay.
 
-    The documents are shuffled once, to part from the ids that lost; only if some id is repeated are those rows sought in a second
-    pass.
+    The ids that lost are broadcast if they are ``PICKED`` at most, so that no text moves; more are joined, for which the documents
+    are shuffled once. Only if some id is repeated are those rows sought in a second pass.
     """
     groups = near_duplicates(docs, id_column, text_column, shingle, similarity).filter("doc_id IS NOT NULL")
     decided = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("__lost"), F.count("*").alias("__n"))
     decided = cut(decided.filter("__lost OR __n > 1"))
+    gone = decided.select("__id")
+    if decided.count() <= PICKED:
+        gone = F.broadcast(gone)
     same = docs[id_column].cast("long") == F.col("__id")
-    kept = docs.join(decided, same, "left_anti")
+    kept = docs.join(gone, same, "left_anti")
     again = decided.filter("NOT __lost")
     if again.isEmpty():
         return kept
-    return kept.unionByName(docs.join(again, same, "left_semi").dropDuplicates([id_column]))
+    rows = docs.join(again.select("__id"), same, "left_semi")
+    one = rows.groupBy(F.col(id_column).alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
+    return kept.unionByName(one.select("__row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

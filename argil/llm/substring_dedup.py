@@ -1,6 +1,6 @@
 """Removal of repeated passages: a count-min prefilter over word windows, then exact groups of the windows it lets through.
 
-Documents are dealt to groups by a hash of their id. The text is shuffled once to its group and read there three times (the
+Documents are dealt to groups by a hash of id and text. The text is shuffled once to its group and read there three times (the
 exchange is reused); everything else that moves is packed into one binary row per group and block, a block being a share of the
 hash space:
 
@@ -258,8 +258,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     groups = max(1, math.ceil(size / max(GROUP_BYTES, GROUP_ROOT * math.isqrt(size))))
     blocks, width = groups, WIDTH * max(64, math.ceil(size / _WORD_BYTES / groups))
     extra = [] if digest else [c for c in docs.columns if c not in (id_column, text_column, "n_words", "n_removed", "kept")]
-    # a text without an id is dealt by its content, else all would meet in one group
-    deal = F.pmod(F.when(F.col(id_column).isNull(), F.xxhash64(text_column)).otherwise(F.xxhash64(id_column)), F.lit(groups)).cast("int").alias("__g")
+    # rows of one id, or of none, spread by their texts, and equal ones by the partition that reads them; groups compare ids, so any
+    # group will do for a row
+    deal = F.pmod(F.xxhash64(id_column, text_column, F.spark_partition_id()), F.lit(groups)).cast("int").alias("__g")
     carried = [F.struct(*extra).alias("row")] if extra else []
     dealt = docs.select(deal, F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), *carried).repartition(groups, "__g")
 
