@@ -1,4 +1,4 @@
-"""Quality rules: counts of words, symbols and repeats, and bands of zstandard compression ratios."""
+"""Quality rules: counts of words, symbols and repeats, and bands of zstandard compression ratios of whole texts and of chunks."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from argil.llm._stats import SYMBOL, code_points, lines, repeated_words, repeats, sums
 from argil.llm._text import hash_spans, raw, read, slices, words
 
-LEVEL, CHUNK, WINDOW = 3, 4096, 8
+LEVEL, WINDOW = 3, 8
 #: From this many bytes on a whole text's ratio (compressed by plain size) must lie between these limits. Short texts hold little
 #: to compress, and the frame itself weighs on them, so their limits are wide; prose lies at 0.4 to 0.5 from some kilobytes on,
 #: repetition far below, and random letters at 0.7 and over.
@@ -28,8 +28,9 @@ BANDS = (
     (65536, 0.28, 0.56),
     (262144, 0.24, 0.55),
 )
-#: Limits of a full chunk, and the share of a text's full chunks that may lie outside.
-CHUNK_BAND, CHUNK_SHARE = (0.36, 0.64), 1 / 3
+#: Size and limits of chunks; a text is cut into the largest that it fills, the last chunk ending where it ends. So much of a text's
+#: chunks may lie outside.
+CHUNKS, CHUNK_SHARE = ((512, 0.40, 0.82), (4096, 0.36, 0.64)), 1 / 3
 LEAST_WORDS, MOST_REPEATED = 20, 30
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -53,23 +54,24 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def bands(text: memoryview, press: zstandard.ZstdCompressor) -> tuple[float | None, int, int, bool]:
-    """Ratio of the whole text, number of full chunks, how many of them lie outside their band, and whether all is within limits."""
+    """Ratio of the whole text, number of chunks, how many of them lie outside their band, and whether all is within limits."""
     n = len(text)
     if not n:
         return None, 0, 0, True
     ratio = len(press.compress(text)) / n
     _, low, high = next(b for b in reversed(BANDS) if n >= b[0])
-    chunks = [len(press.compress(text[at : at + CHUNK])) / CHUNK for at in range(0, n - CHUNK + 1, CHUNK)]
-    bad = sum(not CHUNK_BAND[0] <= c <= CHUNK_BAND[1] for c in chunks)
-    return ratio, len(chunks), bad, low <= ratio <= high and bad <= CHUNK_SHARE * len(chunks)
+    size, least, most = next((c for c in reversed(CHUNKS) if n >= c[0]), (n + 1, 0.0, 0.0))
+    starts = [*range(0, n - size + 1, size), *([n - size] if n > size and n % size else [])]
+    bad = sum(not least <= len(press.compress(text[at : at + size])) / size <= most for at in starts)
+    return ratio, len(starts), bad, low <= ratio <= high and bad <= CHUNK_SHARE * len(starts)
 
 
 def judge(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """Add the base counts, ``base_failed``, ``kept`` and the compression figures to each row.
 
     A text fails the base rules with fewer than 20 words or with over 30 % of its words in 8-word windows that it has twice or
-    more. Else it is kept if the ratio of the whole text lies in the band of its length and at most a third of its full chunks lie
-    outside theirs. Null and empty texts have no words and fail. Columns of the added names are replaced; other columns, nulls in
+    more. Else it is kept if the ratio of the whole text lies in the band of its length and at most a third of its chunks, of 4096 bytes
+    or of 512 in a shorter text, lie outside theirs. Null and empty texts have no words and fail. Columns of the added names are replaced; other columns, nulls in
     them and repeated rows pass through. Whole texts are read, one slice at a time; nothing is shuffled.
     """
     rest = [c for c in docs.columns if c not in {n for n, _ in _FIELDS} or c == text_column]

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from argil.llm import compression_rules, quality, toxicity
 from argil.llm._labels import held_out, sample
@@ -207,3 +208,40 @@ def test_compression(spark):
     kept = {f.doc_id: f.kept for f in found}
     assert kept == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False, 7: True, None: False}
     assert compression_rules.judge(docs.limit(0)).count() == 0
+
+
+def slow_verdict(text):
+    """Limits of the text's length, written out again, over the library's own compressor."""
+    b = text.encode()
+    ratio = lambda x: len(zstandard.compress(x, 3)) / len(x)
+    limits = [(262144, 0.24, 0.55), (65536, 0.28, 0.56), (16384, 0.31, 0.58), (4096, 0.34, 0.62), (1024, 0.37, 0.70), (512, 0.41, 0.80), (256, 0.44, 0.90), (128, 0.45, 1.15)]
+    low, high = next(((x, y) for n, x, y in limits if len(b) >= n), (0, float("inf")))
+    size, least, most = (4096, 0.36, 0.64) if len(b) >= 4096 else (512, 0.40, 0.82)
+    chunks, rest = [], b
+    while len(rest) >= size:
+        chunks.append(rest[:size])
+        rest = rest[size:]
+    if chunks and rest:
+        chunks.append(b[-size:])
+    return low <= ratio(b) <= high and 3 * sum(not least <= ratio(c) <= most for c in chunks) <= len(chunks)
+
+
+def test_compression_by_brute_force(spark):
+    r = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    texts = [d.text for d in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if d.text]
+    noise = lambda n: " ".join("".join(r.choice(letters) for _ in range(40)) for _ in range(n // 41))
+    texts += [t[:k] + noise(m) for t in texts[:60] for k, m in ((300, 400), (2000, 1500), (4096, 3000), (9000, 9000))]
+    texts += [(f"word{i} " * 30 + noise(200)) * (i + 1) for i in range(20)]
+    found = compression_rules.judge(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert all(f.kept == (not f.base_failed and slow_verdict(f.text)) for f in found)
+    kept = [f.kept for f in found if not f.base_failed]
+    assert 0.1 < sum(kept) / len(kept) < 0.95
+
+
+def test_a_tail_of_noise_is_seen(spark):
+    prose = next(d.text for d in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if d.text and len(d.text.encode()) > 6000)
+    r = random.Random(1)
+    noise = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(9)) for _ in range(300))
+    docs = spark.createDataFrame([(1, prose[:4096] + noise), (2, prose[:6000]), (3, prose[:900]), (4, prose[:512] + noise[:700])], "doc_id long, text string")
+    assert {f.doc_id: f.kept for f in compression_rules.judge(docs).collect()} == {1: False, 2: True, 3: True, 4: False}
