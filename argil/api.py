@@ -56,9 +56,13 @@ class Scan:
         return gate(at_least(self.findings, min_severity), fail_on)
 
 
+def frames(decoded: DataFrame, chunks: DataFrame, pieces: DataFrame) -> Frames:
+    return Frames(files.artifacts(decoded), files.metadata_kv(decoded), files.pickle_streams(decoded), files.raw_hits(decoded), chunks, pieces)
+
+
 def _run(decoded: DataFrame, chunks: DataFrame, pieces: DataFrame, scanners: Mapping[str, Scanner] | None) -> Scan:
     once = cut(decoded)
-    own = Frames(files.artifacts(once), files.metadata_kv(once), files.pickle_streams(once), files.raw_hits(once), chunks, pieces)
+    own = frames(once, chunks, pieces)
     chosen = SCANNERS if scanners is None else scanners
     return Scan(own.artifacts, union([s(own) for s in chosen.values()]), files.errors(once))
 

@@ -53,7 +53,7 @@ def held(spark, folder, pack):
 def _frames(spark, folder):
     from argil.sources import files
 
-    return api.frames(files.decoded(spark, str(folder)), files.chunks(spark, str(folder)))
+    return api.frames(files.decoded(spark, str(folder)), files.chunks(spark, str(folder)), files.stream_pieces(spark, str(folder)))
 
 
 def test_language(spark, folder):
