@@ -1,4 +1,5 @@
-"""Near-duplicate documents: by SimHash, joined on Golay-code fuzzy keys, or by exact similarity of their bags of shingles."""
+"""Near-duplicate documents: by SimHash, joined on Golay-code fuzzy keys; where a similarity is asked for, verified on the bags of
+shingles, and with an exact join for what lies beyond the keys' radius."""
 
 from __future__ import annotations
 
@@ -47,8 +48,13 @@ def simhash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     count = np.where(n > SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     head = ranges(first[:-1], count)
     tail = head + np.repeat(np.minimum(n, SHINGLE), count) - 1
-    hashes = xxh64_spans(joined, moved[starts[head]], moved[ends[tail]], SEED).astype("<u8").view(np.uint8).reshape(-1, 8)
-    out = np.zeros(len(n), dtype=np.uint64)
+    return fold(xxh64_spans(joined, moved[starts[head]], moved[ends[tail]], SEED), count)
+
+
+def fold(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """SimHash of each row of so many hashes: a bit is 1 if it is set in over half of them; none give zero."""
+    hashes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    out = np.zeros(len(count), dtype=np.uint64)
     at = 0
     for row, m in enumerate(count.tolist()):
         if m:
@@ -150,15 +156,16 @@ def numbered(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _bag_digests(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, fp)`` of ``docs(doc_id, text)``, ``fp`` the hash of a document's bag of shingles."""
+    """``(doc_id, fp, mark)`` of ``docs(doc_id, text)``: the hash of a document's bag of shingles, and the SimHash of that bag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                fps = digests(*bags(*raw(part.column(1)), shingle))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                hashes, first = bags(*raw(part.column(1)), shingle)
+                marks = fold(hashes, np.diff(first))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests(hashes, first).view(np.int64)), pa.array(marks.view(np.int64))], names=["doc_id", "fp", "mark"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, "doc_id long, fp long, mark long")
 
 
 def _common(docs: DataFrame, shingle: int, n: int) -> np.ndarray:
@@ -175,8 +182,65 @@ def _common(docs: DataFrame, shingle: int, n: int) -> np.ndarray:
     return np.sort(often.select("k").toArrow().column("k").to_numpy().view(np.uint64))
 
 
-def similar(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float, n: int) -> DataFrame:
-    """All pairs of classes whose bags of shingles have a weighted Jaccard similarity of ``similarity`` or more: ``(u, v)``, ids.
+def close(classes: DataFrame) -> DataFrame:
+    """Pairs of classes whose fingerprints are equal or differ in ``RADIUS`` bits at most: ``(a, b)``, bags. Not verified.
+
+    ``classes(fp, id, mark)`` has one row for each distinct bag. Of those of one fingerprint each is paired with the first only, and
+    that alone is looked for under other fingerprints, so that no group of bags is squared.
+    """
+    firsts = cut(classes.groupBy("mark").agg(F.min("fp").alias("first")))
+    alike = classes.join(firsts, "mark").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    return alike.union(links(firsts.select(F.col("mark").alias("fp"), F.col("first").alias("id"))).select(F.col("v").alias("a"), F.col("u").alias("b")))
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` of classes whose bags of shingles have a weighted Jaccard similarity of ``similarity`` or more."""
+    ratio = Fraction(str(similarity))
+    up, down = ratio.numerator, ratio.denominator
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, fps = few.value
+        for batch in batches:
+            doc_id = batch.column(0).to_numpy()
+            lo, hi = np.searchsorted(ids, doc_id), np.searchsorted(ids, doc_id, side="right")
+            row, at = np.repeat(np.arange(len(doc_id)), hi - lo), ranges(lo, hi - lo)
+            yield from whole([pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(fps[at])], names=["doc_id", "text", "wanted"])])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, first = bags(*raw(part.column(1)), shingle)
+                own = digests(hashes, first).view(np.int64) == part.column(2).to_numpy()
+                hashes, _ = numbered(hashes, first)
+                kept = np.flatnonzero(own)
+                bodies = [np.sort(hashes[first[i] : first[i + 1]]).tobytes() for i in kept.tolist()]
+                yield pa.RecordBatch.from_arrays([part.column(2).take(pa.array(kept)), pa.array(bodies, pa.binary())], names=["fp", "bag"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append((up + down) * both >= up * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = cut(pairs)
+    wanted = cut(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(classes, "fp").select(F.col("id").alias("doc_id"), F.col("fp").alias("wanted")))
+    if wanted.count() <= PICKED:
+        table = wanted.orderBy("doc_id", "wanted").toArrow()
+        few = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("doc_id", "wanted")))
+        bodies = docs.mapInArrow(picked, "fp long, bag binary")
+    else:
+        bodies = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(whole, "fp long, bag binary")
+    found = cut(bodies.dropDuplicates(["fp"]))
+    first, second = (found.select(F.col("fp").alias(f), F.col("bag").alias(f"bag_{f}")) for f in ("a", "b"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(verify, "a long, b long")
+
+
+def similar(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float, n: int, groups: DataFrame) -> DataFrame:
+    """All pairs of classes whose bags of shingles have a weighted Jaccard similarity of ``similarity`` or more: ``(a, b)``, bags; but
+    for pairs in one of ``groups(node, root)``, whose members are known to be linked. ``PICKED`` members are passed over at most.
 
     ``docs(doc_id, text)`` has no null id; ``classes(fp, id)`` has one row for each distinct bag. Two such bags share ``similarity`` of
     the larger one's shingles. So, if all are sorted in one order, they share one of the first ``n - ceil(similarity * n) + 1`` of
@@ -185,10 +249,12 @@ def similar(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float
     """
     ratio = Fraction(str(similarity))
     up, down = ratio.numerator, ratio.denominator
-    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle, n))  # of a bounded size
+    members = groups.orderBy("root", "node").limit(PICKED).toArrow().sort_by("node")
+    known = tuple(members.column(c).to_numpy() for c in ("node", "root"))
+    shared = docs.sparkSession.sparkContext.broadcast((_common(docs, shingle, n), *known))  # of a bounded size
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
+        common, _, _ = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, first = bags(*raw(part.column(1)), shingle)
@@ -215,63 +281,41 @@ def similar(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float
         fresh[1:] = (k[1:] != k[:-1]) | (fp[1:] != fp[:-1])
         k, fp, size = k[fresh], fp[fresh], size[fresh]
         spare = -(-up * size // down) - size // FURTHER
+        _, nodes, roots = shared.value
+        group = fp
+        if len(nodes):
+            at = np.minimum(np.searchsorted(nodes, fp), len(nodes) - 1)
+            group = np.where(nodes[at] == fp, roots[at], fp)
         left, lag = np.arange(len(k)), 0
         while len(left):
             lag += 1
             left = left[left + lag < len(k)]
             left = left[(k[left] == k[left + lag]) & (down * size[left] >= up * size[left + lag])]
-            right = left + lag
-            need = -(-up * (size[left] + size[right]) // (up + down)) - np.maximum(spare[left], spare[right]) + 1
-            a, b = fp[left], fp[right]
+            x = left[group[left] != group[left + lag]]
+            y = x + lag
+            need = -(-up * (size[x] + size[y]) // (up + down)) - np.maximum(spare[x], spare[y]) + 1
+            a, b = fp[x], fp[y]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
 
-    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, fps = few.value
-        for batch in batches:
-            doc_id = batch.column(0).to_numpy()
-            lo, hi = np.searchsorted(ids, doc_id), np.searchsorted(ids, doc_id, side="right")
-            row, at = np.repeat(np.arange(len(doc_id)), hi - lo), ranges(lo, hi - lo)
-            yield from whole([pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(fps[at])], names=["doc_id", "text", "wanted"])])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                hashes, first = bags(*raw(part.column(1)), shingle)
-                own = digests(hashes, first).view(np.int64) == part.column(2).to_numpy()
-                hashes, _ = numbered(hashes, first)
-                kept = np.flatnonzero(own)
-                bodies = [np.sort(hashes[first[i] : first[i + 1]]).tobytes() for i in kept.tolist()]
-                yield pa.RecordBatch.from_arrays([part.column(2).take(pa.array(kept)), pa.array(bodies, pa.binary())], names=["fp", "bag"])
+    met = docs.mapInArrow(key, "k long, fp long, size long").repartition("k").mapInArrow(meet, "a long, b long, need long")
+    return verified(docs, classes, met.groupBy("a", "b", "need").count().filter("count >= need").select("a", "b"), shingle, similarity)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append((up + down) * both >= up * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    met = docs.mapInArrow(key, "k long, fp long, size long").repartition("k").mapInArrow(meet, "a long, b long, need long")
-    pairs = cut(met.groupBy("a", "b", "need").count().filter("count >= need").select("a", "b"))
-    wanted = cut(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(classes, "fp").select(F.col("id").alias("doc_id"), F.col("fp").alias("wanted")))
-    if wanted.count() <= PICKED:
-        table = wanted.orderBy("doc_id", "wanted").toArrow()
-        few = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("doc_id", "wanted")))
-        bodies = docs.mapInArrow(picked, "fp long, bag binary")
-    else:
-        bodies = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(whole, "fp long, bag binary")
-    found = cut(bodies.dropDuplicates(["fp"]))
-    first, second = (found.select(F.col("fp").alias(f), F.col("bag").alias(f"bag_{f}")) for f in ("a", "b"))
-    linked = pairs.join(first, "a").join(second, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(verify, "a long, b long")
+def _linked(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float, n: int) -> DataFrame:
+    """All links between similar classes: ``(u, v)`` with their ids. The fuzzy keys find the nearest, which are then known to belong
+    together, whatever their number; the exact join finds what links these groups and all others."""
+    near = cut(verified(docs, classes, close(classes), shingle, similarity))
+    groups = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    pairs = near.union(similar(docs, classes, shingle, similarity, n, groups))
     ids = [classes.select(F.col("fp").alias(f), F.col("id").alias(f"id_{f}")) for f in ("a", "b")]
-    named = linked.join(ids[0], "a").join(ids[1], "b").filter("id_a <> id_b")
+    named = pairs.join(ids[0], "a").join(ids[1], "b").filter("id_a <> id_b")
     return named.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """Group documents whose SimHash fingerprints differ in two bits or fewer, directly or through others; with ``similarity``, those
-    whose bags of shingles have at least that weighted Jaccard similarity instead, see ``similar``.
+    whose bags of shingles have at least that weighted Jaccard similarity instead: the nearest are found by fingerprints too and then
+    verified, see ``close``, the rest exactly, see ``similar``.
 
     A-Z are lower-cased; shingles are ``shingle`` words, joined by a space for fingerprints, repeats included; fewer words are one
     shingle, and a null or empty text has fingerprint zero, linked like any other. Returns one row per input row: ``doc_id``, ``fp``
@@ -280,19 +324,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     neither read nor returned. An empty table gives no rows.
 
     Documents of one fingerprint become one class before anything is joined, so that a group of copies of any size is one row;
-    its aggregation is combined before the shuffle. The table of fingerprints is checkpointed, 16 bytes a document.
+    its aggregation is combined before the shuffle. The table of fingerprints is checkpointed, 16 bytes a document, or 24.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     if similarity is None and shingle != SHINGLE:
         raise ValueError("fingerprints are of three words")
     fps = cut(fingerprints(docs, id_column, text_column) if similarity is None else _bag_digests(texts, shingle))
     named = fps.filter("doc_id IS NOT NULL")
-    classes = cut(named.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    classes = cut(named.groupBy("fp").agg(F.min("doc_id").alias("id"), *([] if similarity is None else [F.min("mark").alias("mark")])))
     # one document, several rows: its classes are linked through its id
     several = named.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("doc_id")
-    shared = named.join(several, "doc_id", "left_semi").distinct().join(classes, "fp")
+    shared = named.select("doc_id", "fp").join(several, "doc_id", "left_semi").distinct().join(classes, "fp")
     rows = shared.select(F.col("id").alias("u"), F.col("doc_id").alias("v")).filter("u <> v")
-    near = links(classes) if similarity is None else similar(texts.filter("doc_id IS NOT NULL"), classes, shingle, similarity, fps.count())
+    near = links(classes) if similarity is None else _linked(texts.filter("doc_id IS NOT NULL"), classes, shingle, similarity, fps.count())
     found = components(near.union(rows))
     roots = classes.join(found, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")

@@ -28,7 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id."""
+    """One document of each group of near copies, that with the smallest id: by SimHash and Golay keys, verified, and by an exact join
+    for copies that lie further apart."""
     return simhash_dedup.keep_one(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 

@@ -4,10 +4,12 @@ import itertools
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from argil.llm import simhash_dedup
+from argil.llm._text import raw
 from tests.llm.test_kernels import WORD
 
 SCHEMA = "doc_id long, text string"
@@ -71,3 +73,40 @@ def test_stage_keeps_one_of_all_near_copies(spark, rows):
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(slow_groups(rows).values()))
     assert sum(r.doc_id is None for r in kept) == 1
+
+
+def slow_mark(text):
+    hashes, _ = simhash_dedup.bags(*raw(pa.array([text or ""])), 5)
+    hashes = hashes.tolist()
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def test_fuzzy_keys_find_the_nearest(spark, rows, monkeypatch):
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash_dedup, "similar", lambda *_: none)
+    r = random.Random(4)
+    more = list(rows)
+    for i in range(1000, 1040, 2):
+        words = ["v%d" % r.randrange(900) for _ in range(600)]
+        more += [(i, " ".join(words)), (i + 1, " ".join([*words, "end"]))]
+    found = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(more, SCHEMA), shingle=5, similarity=0.8).collect() if r.doc_id is not None}
+    whole = slow_groups(more)
+    assert all(whole[i] == whole[root] for i, root in found.items())
+    marks = [(i, slow_mark(t), bag(t)) for i, t in more if i is not None]
+    alone = {m for m, n in Counter(m for _, m, _ in marks).items() if n == 1}
+    near = [(i, j) for (i, m, x), (j, o, y) in itertools.combinations(marks, 2) if {m, o} <= alone and (m ^ o).bit_count() <= 2 and 9 * (x & y).total() >= 4 * (x.total() + y.total())]
+    assert len(near) > 10 and all(found[i] == found[j] for i, j in near)
+    assert found[607] == found[608] == 607  # one fingerprint, two bags
+    assert found[600] != found[601] or whole[601] == whole[600]  # one fingerprint or nearly, but too few shingles in common
+
+
+def test_known_groups_are_not_compared_again(spark, rows):
+    docs = spark.createDataFrame([x for x in rows if x[0] is not None], SCHEMA)
+    classes = simhash_dedup._bag_digests(docs, 5).groupBy("fp").agg({"doc_id": "min"}).toDF("fp", "id")
+    find = lambda groups: {(r.a, r.b) for r in simhash_dedup.similar(docs, classes, 5, 0.8, len(rows), groups).collect()}
+    nothing = spark.createDataFrame([], "node long, root long")
+    every = find(nothing)
+    a, b = min(every)
+    known = spark.createDataFrame([(a, a), (b, a)], "node long, root long")
+    assert every - find(known) == {(a, b)}
+    assert not find(classes.selectExpr("fp AS node", "1L AS root"))
