@@ -242,6 +242,18 @@ def unseen(docs: DataFrame, labels: DataFrame, label: str, model: Model, trained
     return scores, found.column("label").to_numpy(), found.column("lang").to_pylist(), found.column("n").to_numpy()
 
 
+def _views(words: pa.ChunkedArray) -> list[np.ndarray]:
+    """The buckets of each row of a binary column, where they lie: nothing is copied, as the sample is the most that the driver holds."""
+    found = []
+    for chunk in words.chunks:
+        chunk = chunk.cast(pa.large_binary())
+        _, ends, data = chunk.buffers()
+        ends = np.frombuffer(ends, dtype=np.int64)[chunk.offset : chunk.offset + len(chunk) + 1].tolist() if len(chunk) else [0]
+        data = np.frombuffer(data or b"", dtype=np.uint8)
+        found += [data[a:b].view(np.uint16).reshape(-1, TABLES) for a, b in zip(ends[:-1], ends[1:])]
+    return found
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, words: int = SAMPLE_WORDS, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = "lang") -> tuple[Model, dict]:
     """Train on four fifths of a bounded sample of labelled rows, and calibrate thresholds by language on all the others.
 
@@ -270,9 +282,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
             fits.append(i)
             room[y] -= size // (2 * TABLES)
     within = hashed if len(fits) == len(sizes) else hashed.filter(F.col("doc_id").isin(fits))
-    found = within.toArrow().sort_by("doc_id")
-    texts = [np.frombuffer(x, dtype=np.uint16).reshape(-1, TABLES) for x in found.column("words").to_pylist()]
-    y = found.column("label").to_numpy()
+    found = within.toArrow()
+    order = np.argsort(found.column("doc_id").to_numpy())
+    texts = _views(found.column("words"))
+    texts = [texts[i] for i in order.tolist()]
+    ids, y = (found.column(c).to_numpy()[order] for c in ("doc_id", "label"))
+    del found
     if not 0 < y.sum() < len(y):
         rng = np.random.default_rng(SEED)
         m = _initial(texts, y.astype(np.float32), rng)
@@ -281,7 +296,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
         return m, {}
     seen = np.arange(len(y)) % 5 != 4
     model = train([t for t, a in zip(texts, seen) if a], y[seen])
-    scores, classes, langs, n = unseen(rows, labels, label, model, found.column("doc_id").to_numpy()[seen])
+    del texts
+    pa.default_memory_pool().release_unused()
+    scores, classes, langs, n = unseen(rows, labels, label, model, ids[seen])
     left = np.bincount(classes, n, 2)
     count = np.stack([n, n * ((left + np.bincount(y[seen], minlength=2)) / np.maximum(left, 1))[classes]], axis=1)
     level = calibrate(scores, classes, langs, count).get("", THRESHOLD)

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -245,3 +246,12 @@ def test_a_tail_of_noise_is_seen(spark):
     noise = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(9)) for _ in range(300))
     docs = spark.createDataFrame([(1, prose[:4096] + noise), (2, prose[:6000]), (3, prose[:900]), (4, prose[:512] + noise[:700])], "doc_id long, text string")
     assert {f.doc_id: f.kept for f in compression_rules.judge(docs).collect()} == {1: False, 2: True, 3: True, 4: False}
+
+
+def test_sample_is_not_copied():
+    rows = [np.arange(5 * n, dtype=np.uint16).tobytes() for n in (3, 0, 1, 700)]
+    column = pa.chunked_array([pa.array(rows, pa.binary()), pa.array([], pa.binary()), pa.array([b"", *rows], pa.binary()).slice(2), pa.array([b""], pa.large_binary()).cast(pa.binary())])
+    views = toxicity._views(column)
+    assert [v.tobytes() for v in views] == column.to_pylist() and all(v.shape[1:] == (toxicity.TABLES,) for v in views)
+    data = np.frombuffer(column.chunk(0).buffers()[2], dtype=np.uint8)
+    assert all(np.shares_memory(v, data) for v in views[:4] if v.size)
