@@ -146,16 +146,19 @@ def looks_like_pickle(content: Column) -> Column:
 
 
 def detect_format(path: Column, content: Column) -> Column:
-    """Format by magic bytes, then extension, then shape. ``content`` may be the first 64 bytes."""
+    """Format by magic bytes, then extension, then shape, as ``decode.detect``. ``content`` may be the first 64 bytes."""
     magic = F.hex(F.substring(content, 1, 4))
     header = F.hex(F.substring(content, 1, 8))
-    shaped = (F.octet_length(content) >= 9) & (header != "0000000000000000") & (F.hex(F.substring(content, 9, 1)) == "7B")
+    pickled = looks_like_pickle(content)
+    low = F.conv(F.concat(*(F.substring(header, i, 2) for i in (7, 5, 3, 1))), 16, 10).cast("long")
+    long = (F.substring(header, 9, 8) != "00000000") | (low > dims.MAX_HEADER)
+    shaped = (F.octet_length(content) >= 9) & (header != "0000000000000000") & (F.hex(F.substring(content, 9, 1)) == "7B") & ~(pickled & long)
     return (
         F.when(magic == "47475546", "gguf")
         .when(magic == "47474D4C", "ggml")
         .when(magic == "504B0304", "pytorch-zip")
         .when(F.lower(extension(path)) == "onnx", "onnx")
         .when(shaped, "safetensors")
-        .when(looks_like_pickle(content), "pytorch-legacy-pickle")
+        .when(pickled, "pytorch-legacy-pickle")
         .otherwise("unknown")
     )
