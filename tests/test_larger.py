@@ -43,7 +43,7 @@ def test_detect_pickle_with_a_brace(spark):
     assert decode.read_safetensors(header(0x80)).metadata[0][0] == "a"
 
 
-@pytest.mark.parametrize("name", ["pickle_disasm", "artifact_scan", "entropy_findings", "artifact_reports", "rule_pack_files"])
+@pytest.mark.parametrize("name", ["pickle_disasm", "zip_streams", "artifact_scan", "entropy_findings", "artifact_reports", "rule_pack_files"])
 def test_queries_on_such_pickles(spark, folder, name):
     df = catalogue.QUERIES[name](spark, folder)
     with duckdb.connect() as c:
