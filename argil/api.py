@@ -74,10 +74,11 @@ def scan(spark: SparkSession, path: str, recursive: bool = False, scanners: Mapp
     return _run(files.decoded(spark, path, recursive, raw), files.chunks(spark, path, recursive), files.stream_pieces(spark, path, recursive), scanners)
 
 
-def scan_binary(contents: DataFrame, scanners: Mapping[str, Scanner] | None = None) -> Scan:
-    """Scan a table with ``path`` and ``content``, as the binary source reads it from any file system."""
+def scan_binary(contents: DataFrame, scanners: Mapping[str, Scanner] | None = None, decoded: DataFrame | None = None) -> Scan:
+    """Scan a table with ``path`` and ``content``, as the binary source reads it from any file system. ``decoded`` is what
+    ``files.decoding`` gives for it, where the contents were decoded as they were made."""
     raw = scanners is None or "secrets" in scanners
-    return _run(files.from_binary(contents, raw), files.chunks_of(contents), files.pieces_of(contents), scanners)
+    return _run(files.from_binary(contents, raw) if decoded is None else decoded, files.chunks_of(contents), files.pieces_of(contents), scanners)
 
 
 def text_as_metadata(table: DataFrame, id_column: str, text_column: str) -> DataFrame:

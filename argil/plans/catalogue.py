@@ -6,7 +6,7 @@ the customers do; container formats are exercised by byte strings in code.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -341,12 +341,11 @@ _add(
 # containers, made of the customers
 
 
-def _examined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.from_binary(containers.files(spark, sf_dir), raw=False)
+_examined = containers.decoded
 
 
-def _scan(spark: SparkSession, sf_dir: str) -> api.Scan:
-    return api.scan_binary(containers.files(spark, sf_dir))
+def _scan(spark: SparkSession, sf_dir: str, scanners: Mapping[str, api.Scanner] | None = None) -> api.Scan:
+    return api.scan_binary(containers.files(spark, sf_dir), scanners, containers.decoded(spark, sf_dir, scanners is None))
 
 
 def _disassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,7 +367,7 @@ _add("artifact_reports", lambda s, d: _scan(s, d).reports().select("path", "form
 def _pack_on_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over metadata, raw bytes, imports and opcodes of all files."""
     scanner = packs.scanner(rules.load(FILE_PACK))
-    return api.scan_binary(containers.files(spark, sf_dir), {"rules": scanner}).findings.select("path", "rule_id", "severity")
+    return _scan(spark, sf_dir, {"rules": scanner}).findings.select("path", "rule_id", "severity")
 
 
 FILE_PACK = r"""

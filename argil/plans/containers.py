@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argil.functions import dims
+from argil.functions.schema import DECODED
 from argil.plans import oracle
 from argil.plans.inputs import MODULES, NAMES
+from argil.sources.files import decoding
 
 EXTENSIONS = ("gguf", "safetensors", "bin", "pkl", "ckpt", "onnx", "pt")
 #: SHA-256 digests that make up the noisy stream.
 _DIGESTS = 256
+#: Files made at once.
+_A_BATCH = 256
 
 
 def _string(text: str) -> bytes:
@@ -68,16 +72,28 @@ def content(k: int, segment: str) -> bytes:
     return b"\x80\x04B" + struct.pack("<I", len(noise)) + noise + b"."
 
 
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files of customers, a few hundred a batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _A_BATCH):
+            keys, segments = (c.to_pylist() for c in batch.slice(at, _A_BATCH).columns)
+            yield pa.RecordBatch.from_arrays([pa.array([f"c/{k}.{EXTENSIONS[k % 7]}" for k in keys]), pa.array([content(k, s) for k, s in zip(keys, segments)], pa.binary())], names=["path", "content"])
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and segments, dealt out before any bytes are made."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment").repartition(spark.sparkContext.defaultParallelism)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(path, content)``, a file for each customer, dealt out before its bytes are made."""
+    """``(path, content)``, a file for each customer."""
+    return _customers(spark, sf_dir).mapInArrow(_made, "path string, content binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, segments = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array([f"c/{k}.{EXTENSIONS[k % 7]}" for k in keys]), pa.array([content(k, s) for k, s in zip(keys, segments)], pa.binary())], names=["path", "content"])
 
-    own = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
-    return own.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "path string, content binary")
+def decoded(spark: SparkSession, sf_dir: str, raw: bool = False) -> DataFrame:
+    """What these files hold: made and decoded in the same worker, so that no file travels."""
+    decode = decoding(raw)
+    return _customers(spark, sf_dir).mapInArrow(lambda batches: decode(_made(batches)), DECODED)
 
 
 # the same facts in DuckDB's SQL

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import mmap
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
@@ -29,6 +29,8 @@ from argil.functions.schema import CHUNKS, DECODED, PIECES
 CHUNK, SHARE = 8 << 20, 256 << 20
 #: Small files that one task decodes.
 FILES_A_TASK = 64
+#: Rows, and about the bytes, that a batch of decoded rows takes; a longer row has one of its own.
+ROWS, BYTES = 256, 1 << 20
 _LISTERS = 32
 
 
@@ -72,35 +74,60 @@ _ARROW = to_arrow_schema(DECODED)
 _NONE = dict.fromkeys(DECODED.names)
 
 
-def _batch(row: dict) -> pa.RecordBatch:
-    if row.get("tensor_count") is not None:
-        row["tensor_count"] = Decimal(row["tensor_count"])
-    if "metadata" in row:
-        row["metadata"] = [{"key": k, "value": v} for k, v in row["metadata"]]
-    for s in row.get("streams", ()):
-        s["imports"] = [{"module": m, "name": n, "offset": o} for m, n, o in s["imports"]]
-    return pa.RecordBatch.from_pylist([_NONE | row], schema=_ARROW)
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    for row in rows:
+        if row.get("tensor_count") is not None:
+            row["tensor_count"] = Decimal(row["tensor_count"])
+        if "metadata" in row:
+            row["metadata"] = [{"key": k, "value": v} for k, v in row["metadata"]]
+        for s in row.get("streams", ()):
+            s["imports"] = [{"module": m, "name": n, "offset": o} for m, n, o in s["imports"]]
+    return pa.RecordBatch.from_pylist([_NONE | row for row in rows], schema=_ARROW)
 
 
-def _found(path: str, data: mmap.mmap | bytes, begin: int, end: int) -> Iterator[pa.RecordBatch]:
+def _sized(row: dict) -> tuple[int, dict]:
+    """A row and about the bytes that it takes. A text that can't be encoded raises here, while its file is read."""
+    streams = row.get("streams", ())
+    pairs = [*row.get("metadata", ()), *((m, n) for s in streams for m, n, _ in s["imports"]), *((s["name"], "") for s in streams), *((h["hit"], "") for h in row.get("hits", ()))]
+    return 256 + 32 * len(pairs) + len("".join(x for pair in pairs for x in pair).encode()), row
+
+
+def _batches(rows: Iterable[tuple[int, dict]]) -> Iterator[pa.RecordBatch]:
+    """Sized rows put together to small batches, as one for each file would cost more than its decoding."""
+    held: list[dict] = []
+    size = 0
+    for own, row in rows:
+        if held and size + own > BYTES:
+            yield _batch(held)
+            held, size = [], 0
+        held.append(row)
+        size += own
+        if len(held) == ROWS:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
+def _found(path: str, data: mmap.mmap | bytes, begin: int, end: int) -> Iterator[tuple[int, dict]]:
     """Credentials of a share of raw bytes, some thousands a row."""
     held: list[dict] = []
     for rule, offset, hit in search.hits(data, begin, end):
         held.append({"rule": rule, "offset": offset, "hit": hit})
         if len(held) == 4096:
-            yield _batch({"path": path, "hits": held})
+            yield _sized({"path": path, "hits": held})
             held = []
     if held:
-        yield _batch({"path": path, "hits": held})
+        yield _sized({"path": path, "hits": held})
 
 
-def _decoded(path: str, data: mmap.mmap | bytes) -> Iterator[pa.RecordBatch]:
+def _decoded(path: str, data: mmap.mmap | bytes) -> Iterator[tuple[int, dict]]:
     for row in decode.read_artifact(path, data):
-        yield _batch(row | {"path": path} | ({"size": len(data)} if row.get("head") else {}))
+        yield _sized(row | {"path": path} | ({"size": len(data)} if row.get("head") else {}))
 
 
-def _failed(path: str | None, error: Exception) -> pa.RecordBatch:
-    return _batch({"path": path, "error": f"opening {path}: {error}"})
+def _failed(path: str | None, error: Exception) -> tuple[int, dict]:
+    return _sized({"path": path, "error": f"opening {path}: {error}"})
 
 
 def _size(path: str) -> int:
@@ -139,7 +166,12 @@ class _Reader(DataSourceReader):
         return (spans if self.mode == "chunks" else whole + spans) or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        """Rows of each file or span. Whatever fails with one, the others are read; only decoding reports it."""
+        """Rows of each file or span."""
+        found = self._rows(partition)
+        yield from _batches(found) if self.mode == "decoded" else found
+
+    def _rows(self, partition: _Files) -> Iterator:
+        """Decoded rows, or batches of bytes. Whatever fails with one file, the others are read; only decoding reports it."""
         for path, at, length in partition.files:
             try:
                 with _Mapped(path) as data:
@@ -208,10 +240,11 @@ def stream_pieces(spark: SparkSession, path: str, recursive: bool = False) -> Da
     return _load(spark, path, recursive, mode="streams")
 
 
-def from_binary(files: DataFrame, raw: bool = True) -> DataFrame:
-    """Decode a table with ``path`` and ``content``, such as the binary source yields. A null content is a file without a byte."""
+def decoding(raw: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` that decodes batches of ``path`` and ``content`` to ``schema.DECODED``. A null content is a file
+    without a byte. Where contents are made in Python it takes them in the same worker."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
                 path, data = path.as_py(), content.as_py() or b""
@@ -222,7 +255,12 @@ def from_binary(files: DataFrame, raw: bool = True) -> DataFrame:
                 except Exception as e:  # noqa: BLE001 - as in a folder
                     yield _failed(path, e)
 
-    return files.select("path", F.col("content").cast("binary")).mapInArrow(run, DECODED)
+    return lambda batches: _batches(rows(batches))
+
+
+def from_binary(files: DataFrame, raw: bool = True) -> DataFrame:
+    """Decode a table with ``path`` and ``content``, such as the binary source yields."""
+    return files.select("path", F.col("content").cast("binary")).mapInArrow(decoding(raw), DECODED)
 
 
 def pieces_of(files: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ import json
 import struct
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from argil.functions import decode
 from argil.functions import expressions as X
 from argil.plans import catalogue, containers
+from argil.sources import files
 
 from tests.test_queries import rows
 
@@ -50,3 +52,34 @@ def test_queries_on_such_pickles(spark, folder, name):
         c.sql(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet/*.parquet'")
         wanted = c.sql(catalogue.ORACLE_SQL[name])
         assert rows(df.columns, df.collect()) == rows(wanted.columns, wanted.fetchall())
+
+
+def test_small_batches_of_decoded_rows():
+    """Files come out a few hundred a batch, of about a megabyte, whatever the batches that go in; one bad file is one error."""
+    n = 3000
+    paths = [f"c/{k}.{containers.EXTENSIONS[k % 7]}" for k in range(n)]
+    taken, given = [], []
+
+    def batches():
+        for at in range(0, n, 1000):
+            taken.append(len(given))
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + 1000)), pa.array(["BUILDING"] * 1000)], names=["k", "s"])
+
+    for batch in files.decoding(raw=True)(containers._made(batches())):
+        given.append(batch)
+    assert taken[-1] > 0  # made as they are asked for
+    assert max(b.num_rows for b in given) <= files.ROWS and max(b.nbytes for b in given) <= 2 * files.BYTES and len(given) < n / 100
+    assert [p for b in given for p, head in zip(b.column("path").to_pylist(), b.column("head").to_pylist()) if head] == paths
+    long = json.dumps({"__metadata__": {"a": "x" * (3 << 20)}}).encode()
+    bad = json.dumps({"__metadata__": {"a": "\ud800"}}).encode()
+    contents = [struct.pack("<Q", len(h)) + h for h in (long, bad, long)] + [containers.content(3, "")] * 600
+    out = list(files.decoding(raw=False)([pa.RecordBatch.from_arrays([pa.array([f"f{i}" for i in range(len(contents))]), pa.array(contents, pa.binary())], names=["path", "content"])]))
+    assert [b.num_rows for b in out] == [1, 1, 1, 256, 256, 88] and [r for b in out for r in b.column("path").to_pylist()] == [f"f{i}" for i in range(len(contents))]
+    assert [b.column("error")[0].is_valid for b in out] == [False, True, False, False, False, False]
+
+
+def test_files_are_made_and_decoded_in_one_worker(spark, folder):
+    """One Python step for each query on files, so half the workers, and no file goes through the JVM."""
+    for name in ("pickle_findings", "entropy_findings", "safetensors_kv", "artifact_scan", "zip_streams", "pickle_disasm"):
+        leaves = catalogue.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert "content" not in leaves and "MapInArrow" in leaves
