@@ -41,6 +41,8 @@ class Rule:
     needs: tuple[str, ...] = ()
     #: The same matches, as group 1, in time linear in the length of a value: for engines that backtrack, where ``pattern`` isn't.
     linear: str | None = None
+    #: Whether any match holds a decimal digit, of any script.
+    digits: bool = False
 
 
 #: A match begins with a run of characters, or where the last one ended; which run it is hangs on what follows the run alone, so a
@@ -51,22 +53,25 @@ JWT = rf"(?<!{_TOKEN})(?>{_TOKEN}*?\b(?=eyJ))(eyJ{_TOKEN}{{8,}}+\.eyJ{_TOKEN}{{8
 _PII = (LLM_DISCLOSURE, PRIVATE_DATA)
 PII_RULES = (
     Rule("THK-PII-001", "Email address", "low", 0.7, r"[0-9a-zA-Z%+._\-]+@[0-9a-zA-Z\-.]+\.[a-zA-Z]{2,}", references=_PII, needs=("@",), linear=EMAIL),
-    Rule("THK-PII-002", "Credit card number (Luhn-shaped)", "high", 0.4, r"\b(?:\d[- ]?){13,16}\b", references=_PII),
-    Rule("THK-PII-003", "US SSN", "high", 0.6, r"\b\d\d\d-\d\d-\d{4}\b", references=_PII, needs=("-",)),
-    Rule("THK-PII-004", "India Aadhaar (12-digit)", "high", 0.4, r"\b(?:\d{4}\s?){2}\d{4}\b", references=_PII),
-    Rule("THK-PII-005", "India PAN", "medium", 0.7, r"\b[A-Z]{5}\d\d\d\d[A-Z]\b", references=_PII),
-    Rule("THK-PII-006", "IBAN", "medium", 0.6, r"\b[A-Z][A-Z]\d\d[0-9A-Z]{10,30}\b", references=_PII),
-    Rule("THK-PII-007", "IPv4 address", "info", 0.5, r"\b\d{1,3}(?:\.\d{1,3}){3}\b", references=_PII),
+    Rule("THK-PII-002", "Credit card number (Luhn-shaped)", "high", 0.4, r"\b(?:\d[- ]?){13,16}\b", references=_PII, digits=True),
+    Rule("THK-PII-003", "US SSN", "high", 0.6, r"\b\d\d\d-\d\d-\d{4}\b", references=_PII, needs=("-",), digits=True),
+    Rule("THK-PII-004", "India Aadhaar (12-digit)", "high", 0.4, r"\b(?:\d{4}\s?){2}\d{4}\b", references=_PII, digits=True),
+    Rule("THK-PII-005", "India PAN", "medium", 0.7, r"\b[A-Z]{5}\d\d\d\d[A-Z]\b", references=_PII, digits=True),
+    Rule("THK-PII-006", "IBAN", "medium", 0.6, r"\b[A-Z][A-Z]\d\d[0-9A-Z]{10,30}\b", references=_PII, digits=True),
+    Rule("THK-PII-007", "IPv4 address", "info", 0.5, r"\b\d{1,3}(?:\.\d{1,3}){3}\b", references=_PII, digits=True),
 )
 LUHN_RULE = "THK-PII-002"
 
 UNIX_PATH = r"/(?:Users|home|root)/[0-9a-zA-Z._\-]+"
 WINDOWS_PATH = r"[a-zA-Z]:\\Users\\[0-9a-zA-Z._\-]+"
+UNIX_NEEDS, WINDOWS_NEEDS = ("/Users/", "/home/", "/root/"), (":\\Users\\",)
 METADATA_RULES = (
     Rule("THK-MET-001", "Absolute build path leaks a username/host", "low", 0.85, UNIX_PATH, 1, (LLM_DISCLOSURE,)),
     Rule("THK-MET-002", "Cloud / internal-network identifier in metadata", "low", 0.7, r"(?i)\b(?:10(?:\.\d+){3}|azureml|ec2-\d|gs://|s3://|sagemaker|\.internal\b)", 1),
     Rule("THK-MET-003", "Embedded URL in metadata", "info", 0.9, r"https?://[^\s\"'<>]+", 5, needs=("http",)),
 )
+#: What any match of the second holds in capitals; none has a letter that one of another alphabet passes for (s, k, i).
+CLOUD_NEEDS = ("10.", "AZUREML", "EC2-", "://", "AGEMA", "NTERNAL")
 INVENTORY_RULE = Rule("THK-MET-000", "Artifact inventory", "info", 1.0, "", 1)
 
 _SECRET = (LLM_DISCLOSURE, HARD_CODED)

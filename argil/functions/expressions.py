@@ -57,20 +57,29 @@ def matches(value: Column, pattern: str) -> Column:
     return F.regexp_extract_all(value, F.lit("(?U)" + pattern), F.lit(0))
 
 
+def _if_needed(value: Column, needs: Sequence[str], found: Column, nothing: Column) -> Column:
+    """A search, passed over at the cost of a byte search where a value holds none of what a match needs."""
+    return F.when(reduce(Column.__or__, (F.contains(value, F.lit(n)) for n in needs)), found).otherwise(nothing) if needs else found
+
+
 def found(value: Column, rule: dims.Rule) -> Column:
     """The first ``rule.most`` matches of a rule, in linear time where it has a form for that. A value that holds none of what a match
     needs is not searched."""
     pattern, group = (rule.linear, 1) if rule.linear else (rule.pattern, 0)
     out = F.regexp_extract_all(value, F.lit("(?U)" + pattern), F.lit(group))
-    if rule.needs:
-        out = F.when(reduce(Column.__or__, (F.contains(value, F.lit(n)) for n in rule.needs)), out).otherwise(F.array().cast("array<string>"))
-    return F.slice(out, 1, rule.most)
+    return F.slice(_if_needed(value, rule.needs, out, F.array().cast("array<string>")), 1, rule.most)
 
 
-def first_match(value: Column, pattern: str) -> Column:
+def first_match(value: Column, rule: dims.Rule) -> Column:
     """The first match or null."""
-    found = F.regexp_extract(value, "(?U)" + pattern, 0)
-    return F.when(found != "", found)
+    found = F.regexp_extract(value, "(?U)" + rule.pattern, 0)
+    return _if_needed(value, rule.needs, F.when(found != "", found), F.lit(None).cast("string"))
+
+
+def has_digit(value: Column) -> Column:
+    """Whether a text holds a decimal digit: a byte search for ours; one of another script takes a pattern, and a text that isn't ASCII."""
+    ours = reduce(Column.__or__, (F.contains(value, F.lit(str(d))) for d in range(10)))
+    return ours | ((F.octet_length(value) != F.char_length(value)) & F.rlike(value, F.lit(r"(?U)\d")))
 
 
 def human_bytes(n: Column) -> Column:

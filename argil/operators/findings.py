@@ -53,8 +53,9 @@ def union(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def ordered(findings: DataFrame) -> DataFrame:
-    """Worst first, then most certain, then as emitted. Range-partitioned, so that no task sees all."""
-    return findings.orderBy("path", F.desc("sev_ord"), F.desc("confidence"), "seq")
+    """Worst first, then most certain, then as emitted. Range-partitioned, so that no task sees all. The ranges are sampled from shuffled
+    findings, as a sample of the scanners' own output would run them twice."""
+    return findings.repartition("path", "seq").orderBy("path", F.desc("sev_ord"), F.desc("confidence"), "seq")
 
 
 def at_least(findings: DataFrame, severity: str) -> DataFrame:

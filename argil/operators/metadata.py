@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +14,18 @@ from argil.operators.findings import constants, finding, seq
 from argil.operators.pii import numbered
 
 PATHS, CLOUD, LINKS = dims.METADATA_RULES
+UNIX, WINDOWS = replace(PATHS, needs=dims.UNIX_NEEDS), replace(PATHS, pattern=dims.WINDOWS_PATH, needs=dims.WINDOWS_NEEDS)
 
 
 def build_path(value: Column) -> Column:
     """The first Unix home path, else the first Windows one."""
-    return F.coalesce(X.first_match(value, dims.UNIX_PATH), X.first_match(value, dims.WINDOWS_PATH))
+    return F.coalesce(X.first_match(value, UNIX), X.first_match(value, WINDOWS))
+
+
+def infrastructure(value: Column) -> Column:
+    """The first infrastructure name; a text whose capitals hold nothing that one needs isn't searched."""
+    needed = F.exists(F.array(F.upper(value)), lambda up: reduce(Column.__or__, (F.contains(up, F.lit(n)) for n in dims.CLOUD_NEEDS)))
+    return F.when(needed, X.first_match(value, CLOUD))
 
 
 def hits(value: Column) -> Column:
@@ -25,7 +35,7 @@ def hits(value: Column) -> Column:
         return F.when(hit.isNotNull(), F.array(F.struct(F.lit(i).alias("rule"), F.lit(0).alias("n"), hit.alias("hit"))))
 
     links = F.transform(X.found(value, LINKS), numbered(2))
-    parts = (one(0, build_path(value)), one(1, X.first_match(value, CLOUD.pattern)), links)
+    parts = (one(0, build_path(value)), one(1, infrastructure(value)), links)
     return F.flatten(F.array_compact(F.array(*parts)))
 
 

@@ -19,12 +19,15 @@ def numbered(rule: int) -> Callable[[Column, Column], Column]:
 
 def hits(value: Column, rules: Sequence[dims.Rule] = dims.PII_RULES) -> Column:
     """Array of ``struct(rule, n, hit)``, all rules in one pass over a value: the first matches of each, of cards those that
-    satisfy Luhn among the first matches."""
+    satisfy Luhn among the first matches. A value without a digit is passed over by the rules that need one."""
     parts = []
     for i, rule in enumerate(rules):
         found = F.transform(X.found(value, rule), numbered(i))
         parts.append(F.filter(found, lambda s: X.luhn_ok(s.hit)) if rule.rule_id == dims.LUHN_RULE else found)
-    return F.concat(*parts)
+    rest = [p for p, rule in zip(parts, rules) if not rule.digits]
+    if len(rest) == len(parts):
+        return F.concat(*parts)
+    return F.when(X.has_digit(value), F.concat(*parts)).otherwise(F.concat(*rest) if rest else F.lit(None))
 
 
 def exploded(kv: DataFrame, rules: Sequence[dims.Rule] = dims.PII_RULES) -> DataFrame:

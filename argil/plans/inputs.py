@@ -41,7 +41,7 @@ def urls_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer as an artifact with eight pairs, exploded from one scan."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     pairs = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(k).alias("key"), F.expr(e).alias("value")) for i, (k, e) in enumerate(CUSTOMER_PAIRS)))
     return customers.select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("path"), F.explode(pairs).alias("p")).select("path", "p.*")
 

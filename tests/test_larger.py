@@ -1,6 +1,7 @@
 """Queries on customers beyond those of the small tables, and what they ask of memory."""
 
 import json
+import random
 import struct
 
 import duckdb
@@ -8,9 +9,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from argil.functions import decode
+from argil.functions import decode, dims
 from argil.functions import expressions as X
-from argil.plans import catalogue, containers
+from argil.operators import findings, metadata, pii
+from argil.plans import catalogue, containers, inputs
 from argil.sources import files
 
 from tests.test_queries import rows
@@ -83,3 +85,51 @@ def test_files_are_made_and_decoded_in_one_worker(spark, folder):
     for name in ("pickle_findings", "entropy_findings", "safetensors_kv", "artifact_scan", "zip_streams", "pickle_disasm"):
         leaves = catalogue.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
         assert "content" not in leaves and "MapInArrow" in leaves
+
+
+def test_customers_are_dealt_out(spark, tmp_path):
+    """A table of one file is one row group, so one task; its pairs are made by all cores."""
+    spark.range(40).selectExpr("id AS c_custkey", "'BUILDING' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    kv = inputs.customer_kv(spark, str(tmp_path))
+    assert kv.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sum(n > 0 for n in kv.rdd.glom().map(len).collect()) > 1 and kv.count() == 320
+
+
+def test_sorting_runs_the_scanners_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    made = spark.range(1000).selectExpr("concat('p', id % 7) AS path", "id AS seq", "CAST(id % 5 AS TINYINT) AS sev_ord", "0.5D AS confidence")
+    out = findings.ordered(made.mapInArrow(run, made.schema)).collect()
+    assert ran.value == 1000
+    assert out == sorted(out, key=lambda r: (r.path, -r.sev_ord, -r.confidence, r.seq))
+
+
+def test_values_that_are_passed_over_hold_no_match(spark):
+    """Searches behind byte searches find what the patterns alone do, capitals, letters and digits of other alphabets included."""
+    r = random.Random(7)
+    parts = ["10.1.2.3", "10.\u0661.2.3", "AzureML", "\u017fageMaker", "sagema\u212aer", ".\u0130nternal", ".\u0131nternal", ".INTERNAL", "ec2-1", "EC2-\u0663", "g\u017f://", "S3://b", " ", "x", "\u00e9", "\u00df", "-"]
+    parts += ["\u0661" * 4, "\u0967" * 12, "123-45-6789", "1234 5678 9012", "ABCDE1234F", "ABCDE\u0661\u0661\u0661\u0661F", "DE89370400440532013000", "192.168.0.1", "4111 1111 1111 1111", "/home/u", "/Users/v", "/root/w", "/var/x", "C:\\Users\\y", "z:\\users\\q"]
+    texts = [None, "", *parts, *("".join(r.choice(parts) for _ in range(r.randint(1, 6))) for _ in range(3000))]
+    table = spark.createDataFrame([(t,) for t in texts], "v string").repartition(4)
+    v = F.col("v")
+
+    def plain(pattern):
+        out = F.regexp_extract(v, "(?U)" + pattern, 0)
+        return F.when(out != "", out)
+
+    pairs = [(metadata.infrastructure(v), plain(metadata.CLOUD.pattern)), (metadata.build_path(v), F.coalesce(plain(dims.UNIX_PATH), plain(dims.WINDOWS_PATH)))]
+    for rule in dims.PII_RULES:
+        all_ = F.slice(F.regexp_extract_all(v, F.lit("(?U)" + rule.pattern), F.lit(0)), 1, rule.most)
+        if rule.rule_id == dims.LUHN_RULE:
+            all_ = F.filter(all_, lambda h: X.luhn_ok(h))
+        if rule.digits:
+            pairs.append((F.coalesce(F.transform(pii.hits(v, (rule,)), lambda h: h.hit), F.array().cast("array<string>")), F.coalesce(all_, F.array().cast("array<string>"))))
+    checks = [F.count_if(~a.eqNullSafe(b)).alias(f"differ{i}") for i, (a, b) in enumerate(pairs)] + [F.count_if(F.size(b) > 0 if i > 1 else b.isNotNull()).alias(f"found{i}") for i, (_, b) in enumerate(pairs)]
+    row = table.agg(*checks).first().asDict()
+    assert not any(n for k, n in row.items() if k.startswith("differ")), row
+    assert all(n for k, n in row.items() if k.startswith("found")), row
